@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridstone.llm import line_dedup
+from gridstone.llm import bpe, line_dedup, near_dup, shard, token_file
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,35 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_kk_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in shards 0 to 39 by the law ``bytes``; see ``shard.shard_documents``."""
+    placed = shard.shard_documents(table(spark, sf_dir, "documents"), shard.Sharding(shards=40, overhead=16))
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, length and checksum of each document's ids, read from the written files; see ``token_file``."""
+    return token_file.token_index(table(spark, sf_dir, "documents"), token_file.TokenFiles(tokenizer_path(), end_id=2))
+
+
+def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components on two-word shingles; see ``near_dup.near_duplicates``."""
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), near_dup.NearDup(shingle=2))
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encoded and decoded digests of each document; see ``bpe.encode_decode``."""
+    return bpe.encode_decode(table(spark, sf_dir, "documents"), bpe.Bpe(tokenizer_path()))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_dropped, dropped (positions of the lines that go, from 0) of every document."""
     docs = table(spark, sf_dir, "documents")
@@ -30,6 +59,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_kk_sharding": op1_kk_sharding,
+    "op2_token_files": op2_token_files,
+    "op3_near_dup": op3_near_dup,
+    "op4_bpe": op4_bpe,
     "op6_line_dedup": op6_line_dedup,
 }
 
