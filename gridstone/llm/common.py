@@ -108,27 +108,37 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def word_hashes(column: pa.Array, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the lower-cased (A-Z) words of every text, and n + 1 offsets into them.
+def word_spans(column: pa.Array, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of all texts, then start, end and hash of each lower-cased (A-Z) word, then n + 1 offsets into those.
 
     Works on about one megabyte at a time; a longer text is cut at separators only.
     """
     buf, offsets = text_buffer(column)
     n = len(buf)
-    starts, hashes, at = [], [], 0
+    starts, stops, hashes, at = [], [], [], 0
     while at < n:
         stop = min(n, at + _PIECE)
         while stop < n and not separators[buf[stop - 1]]:
             after = np.flatnonzero(separators[buf[stop : stop + _PIECE]])
             stop = stop + int(after[0]) + 1 if len(after) else min(n, stop + _PIECE)
         low, high = np.searchsorted(offsets, (at, stop))
-        start, _, h = _hash_piece(buf[at:stop], offsets[low : high + 1] - at, separators)
+        start, end, h = _hash_piece(buf[at:stop], offsets[low : high + 1] - at, separators)
         starts.append(start + at)
+        stops.append(end + at)
         hashes.append(h)
         at = stop
-    start = np.concatenate(starts) if starts else np.zeros(0, np.int64)
-    h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-    return h, np.searchsorted(start, offsets).astype(np.int64)
+    join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+    start = join(starts, np.int64)
+    return buf, start, join(stops, np.int64), join(hashes, np.uint64), np.searchsorted(start, offsets).astype(np.int64)
+
+
+def word_hashes(column: pa.Array, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of every text, and n + 1 offsets into them; see ``word_spans``."""
+    return word_spans(column, separators)[3:]
+
+
+def lower(buf: np.ndarray) -> np.ndarray:
+    return _LOWER[buf]
 
 
 def shingles(words: np.ndarray, size: int) -> np.ndarray:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridstone.llm import bpe, line_dedup, near_dup, shard, token_file
+from gridstone.llm import ann, bpe, decontaminate, licenses, line_dedup, near_dup, quality, shard, token_file, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -45,6 +45,11 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), bpe.Bpe(tokenizer_path()))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices of each document; see ``licenses.scan``."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_dropped, dropped (positions of the lines that go, from 0) of every document."""
     docs = table(spark, sf_dir, "documents")
@@ -58,12 +63,37 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, item_id, edits, start of every benchmark item that a document holds; see ``decontaminate``."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_ivf_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest rows of each row whose vec_id is divisible by 100; see ``ann.search``."""
+    return ann.search(table(spark, sf_dir, "embeddings"), F.pmod(F.col("vec_id"), F.lit(100)) == 0)
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score of every document; see ``toxicity.score_documents``."""
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights, keys and the sample of all documents; see ``quality.resample``."""
+    return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_kk_sharding": op1_kk_sharding,
     "op2_token_files": op2_token_files,
     "op3_near_dup": op3_near_dup,
     "op4_bpe": op4_bpe,
+    "op5_licenses": op5_licenses,
     "op6_line_dedup": op6_line_dedup,
+    "op7_decontamination": op7_decontamination,
+    "op8_ivf_pq": op8_ivf_pq,
+    "op9_toxicity": op9_toxicity,
+    "op10_quality": op10_quality,
 }
 
 ORACLES: dict[str, str] = {}
