@@ -79,7 +79,8 @@ class Lexical:
         number = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
         at = (self.cuts[:-1][text] + number * p.step)[:, None] + np.arange(p.window)
         inside = at < self.cuts[1:][text][:, None]
-        return np.where(inside, self.words[np.where(inside, at, 0)] if len(self.words) else 0, -1), text
+        at[~inside] = 0
+        return np.where(inside, self.words[at] if len(self.words) else 0, -1).astype(np.int32), text
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -201,13 +202,19 @@ class Network:
         return out
 
 
-def _telling(rows: np.ndarray, text: np.ndarray, toxic: np.ndarray, size: int) -> np.ndarray:
-    """-1 to 1 for each row: the share of toxic texts that hold it less that of clean ones, by their (smoothed) sum."""
-    pair = np.unique(rows * len(toxic) + text)
-    row, bad = pair // len(toxic), toxic[pair % len(toxic)]
+def _telling(lex: Lexical, toxic: np.ndarray, p: Toxicity) -> tuple[np.ndarray, np.ndarray]:
+    """-1 to 1 for each word row and each n-gram row: the share of toxic texts that hold it less that of clean ones, by
+    their (smoothed) sum. A few texts at a time."""
+    held = {"word": np.zeros((2, p.words)), "gram": np.zeros((2, p.grams))}
+    for i in range(len(toxic)):
+        words = np.unique(lex.words[lex.cuts[i] : lex.cuts[i + 1]])
+        n = lex.gram_n[words]
+        at = np.repeat(lex.gram_at[words], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        held["word"][int(toxic[i]), np.unique(lex.word[words])] += 1
+        held["gram"][int(toxic[i]), np.unique(lex.gram[at])] += 1
     n1, n0 = toxic.sum(), (~toxic).sum()
-    s1, s0 = np.bincount(row[bad], minlength=size) / n1, np.bincount(row[~bad], minlength=size) / n0
-    return ((s1 - s0) / (s1 + s0 + 3 / n1)).astype(np.float32)
+    word, gram = (((h[1] / n1 - h[0] / n0) / (h[1] / n1 + h[0] / n0 + 3 / n1)).astype(np.float32) for h in held.values())
+    return word, gram
 
 
 def train(texts: list[str], toxic: np.ndarray, p: Toxicity) -> tuple[Network, float]:
@@ -237,12 +244,7 @@ def _fit(texts: list[str], toxic: np.ndarray, p: Toxicity) -> Network:
     first = np.searchsorted(text, np.arange(len(texts)))
     count = np.bincount(text, minlength=len(texts))
     weight = np.where(toxic, 0.5 / toxic.mean(), 0.5 / (1 - toxic.mean())).astype(np.float32)
-    net.w["Zw"] = _telling(lex.word[lex.words], np.repeat(np.arange(len(texts)), np.diff(lex.cuts)), toxic, p.words)
-    pair = np.unique(np.repeat(np.arange(len(texts)), np.diff(lex.cuts)) * len(lex.word) + lex.words)
-    of_text, of_word = pair // len(lex.word), pair % len(lex.word)
-    n = lex.gram_n[of_word]
-    at = np.repeat(lex.gram_at[of_word], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    net.w["Zc"] = _telling(lex.gram[at], np.repeat(of_text, n), toxic, p.grams)
+    net.w["Zw"], net.w["Zc"] = _telling(lex, toxic, p)
     fixed = net.inputs(lex)[:, -2:].sum(axis=1)
     hint = np.where(windows >= 0, fixed[windows], -2).max(axis=1)
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.w.items() if k[0] != "Z"}
