@@ -6,6 +6,7 @@ Inverted lists of retained values give overlaps, union sketches estimate similar
 from __future__ import annotations
 
 import hashlib
+import random
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,18 +26,25 @@ class NearDup:
 
     shingle: words in a shingle. threshold: Jaccard similarity of shingle sets, in hundredths.
     k: values a sketch retains. overlap: values two linked sketches share at least (sets of fewer than k are held
-    whole, and then the bound follows from the threshold). With k = 64 and similarity 0.8 the shared count
-    is 51 on average with deviation 3.2, so a bound of 32 loses one link in about 10 ** 8.
+    whole, and then the bound follows from the threshold). With k = 40 and similarity 0.8 the shared count
+    is 32 on average with deviation 2.5, so a bound of 20 loses three links at exactly 0.8 in a million.
     extra: how many shared values beyond one are asked for in the (accordingly longer) rarest-first prefixes.
-    slack: how far below the threshold an estimate may be and still be verified; five deviations.
+    slack: how far below the threshold an estimate may be and still be verified; three deviations.
+    short: lists with so many members at most have all pairs across components compared; longer ones are held
+    against members picked in so many ``rounds`` (see ``near_duplicates``).
+    broadcast_ids: so many ids of candidates (8 bytes each) are broadcast to find their texts; more are joined.
     """
 
     shingle: int = 5
     threshold: int = 80
-    k: int = 64
-    overlap: int = 32
-    extra: int = 2
-    slack: float = 0.25
+    k: int = 40
+    overlap: int = 20
+    extra: int = 4
+    slack: float = 0.2
+    short: int = 100
+    rounds: int = 3
+    broadcast_ids: int = 1_000_000
+    seed: int = 23
 
 
 def _sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
@@ -95,6 +103,8 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, p: NearDup)
     )
     likely = durable(likely, "neardup-likely")
     nodes = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    if nodes.count() <= p.broadcast_ids:
+        nodes = F.broadcast(nodes)
     sets = durable(_whole_sets(docs, nodes, p), "neardup-sets")
     threshold = p.threshold
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -116,12 +126,18 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, p: NearDup)
 def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable), kept (doc_id = component_id), a row per document.
 
-    Documents with equal sets form one class, whose node is its smallest doc_id. Of each class's sketch, values
-    ordered rarest first, only a prefix is looked up in the inverted lists: two sketches that share ``overlap``
-    values share ``1 + extra`` in their prefixes, so no link is lost with the common values left out, and a class
-    most of whose values are its own is done. First each class is held against the smallest node of each list; classes
-    linked so are one component, and only pairs across components remain to be compared. So copies cost
-    one comparison each, however many there are.
+    Documents with equal sets form one class, whose node is its smallest doc_id; copies cost no comparison. A class
+    stands in two overlapping bands of set size, as only sets within the threshold's ratio of sizes can be linked;
+    an inverted list belongs to a value and a band. Of each sketch, values ordered rarest first, only a prefix is looked
+    up: two sketches that share ``overlap`` values share ``1 + extra`` in their prefixes, so no link is lost with
+    the common values left out, and a class most of whose values are its own is done.
+
+    Lists are compared in rounds that are linear in their lengths: every member against the most central one (whose
+    values are the commonest: of the edited copies of one text that is the text itself, or the copy nearest to it) and
+    another. Classes linked so are contracted, and long lists that still hold several components take other members in
+    further rounds; of a class's lists its commonest few stand for all then. In short lists all pairs across components are compared then. What
+    this leaves out is a link between two classes that share no value rarer than ``short`` and of which neither is linked
+    with a central or picked member; for disjoint edits of one text the text itself is at least as near to each.
 
     Defined cases: null texts and texts without words have an empty set, are linked with nothing and kept. Rows
     without doc_id are linked with nothing, have a null component and are kept. Rows that repeat a doc_id count as one
@@ -135,42 +151,64 @@ def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     )
     classes = durable(classes, "neardup-classes")
 
-    postings = classes.select("node", "n", F.explode("sketch").alias("v"))
+    band = F.floor(F.log("n") / F.log(F.lit(101 / p.threshold)))
+    postings = (
+        classes.select("node", "n", "sketch", F.explode(F.array(band, band + 1)).alias("band"))
+        .select("node", "n", "band", F.explode("sketch").alias("v"))
+        .select("node", "n", "band", F.xxhash64("v", "band").alias("v"))
+    )
     frequent = postings.groupBy("v").agg(F.count("*").alias("c")).where("c > 1")
     size, least = F.least("n", F.lit(p.k)), F.least(F.lit(p.overlap), F.expr(f"({p.threshold} * n + 99) div 100"))
-    by_node = Window.partitionBy("node", "n")
+    by_node = Window.partitionBy("node", "n", "band")
     prefix = (
         postings.join(frequent, "v")
         .withColumn("rank", F.row_number().over(by_node.orderBy("c", "v")))
         .withColumn("shared", F.count("*").over(by_node))
+        .withColumn("score", F.sum("c").over(by_node))
         .where(size - F.col("shared") + F.col("rank") <= size - least + 1 + p.extra)
-        .select("v", "node", "n", F.least(least, F.lit(1 + p.extra)).alias("need"))
+        .withColumn("common", F.count_if(F.col("c") > p.short).over(by_node))
+        .withColumn("own", F.count("*").over(by_node))
+        .withColumn("from_top", F.row_number().over(by_node.orderBy(F.desc("c"), "v")))
+        .select("v", "node", "n", "c", "score", "common", "from_top", F.least(least, F.lit(1 + p.extra)).alias("need"), "own")
+        .where("own >= need")
+        .drop("own")
     )
     prefix = durable(prefix, "neardup-prefixes")
 
+    masks = random.Random(p.seed)
+    lists, found = prefix.withColumn("root", F.col("node")), None
+    for _ in range(p.rounds):
+        other = F.lit(masks.getrandbits(63))
+        pivots = lists.groupBy("v").agg(
+            F.max(F.struct("score", "node")).alias("top"),
+            F.min(F.col("node").bitwiseXOR(other)).bitwiseXOR(other).alias("other"),
+            F.min("root").alias("r0"),
+            F.max("root").alias("r1"),
+        ).where("r0 < r1").select("v", F.explode(F.array_distinct(F.array("top.node", "other"))).alias("b"))
+        pairs = lists.join(pivots, "v").where("node <> b").groupBy("node", "b").agg(F.count("*").alias("c"), F.max("need").alias("need"), F.first("root").alias("root"))
+        if found is None:
+            pairs = pairs.where("c >= need")
+        else:
+            of_b = found.select(F.col("node").alias("b"), F.col("root").alias("r"))
+            pairs = pairs.join(of_b, "b", "left").where(F.col("root") != F.coalesce("r", "b"))
+        pairs = pairs.select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
+        links = durable(_verified(pairs, classes, docs, p), "neardup-links")
+        if found is not None:
+            if links.isEmpty():
+                break
+            links = links.unionByName(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        found = durable(connected_components(links, "neardup-components"), "neardup-roots")
+        rooted = prefix.join(found.withColumnRenamed("root", "r"), "node", "left").withColumn("root", F.coalesce("r", "node")).drop("r")
+        rooted = durable(rooted, "neardup-rooted")
+        lists = rooted.where((F.col("c") > p.short) & (F.col("from_top") <= 4))
+
     near = f"100 * least(s.n, t.n) >= {p.threshold} * greatest(s.n, t.n)"
-    pivot = prefix.groupBy("v").agg(F.min("node").alias("b"), F.max("node").alias("z")).where("b < z").select("v", "b")
-    stars = (
-        prefix.join(pivot, "v")
-        .where("node <> b")
-        .groupBy(F.col("node").alias("a"), "b")
-        .agg(F.count("*").alias("c"), F.max("need").alias("need"))
-        .where("c >= need")
-        .select("a", "b")
-    )
-    links = durable(_verified(stars, classes, docs, p), "neardup-links")
-    found = durable(connected_components(links, "neardup-components"), "neardup-roots")
-
-    roots = found.withColumnRenamed("root", "r")
-    rooted = prefix.join(roots, "node", "left").select("v", "node", "n", "need", F.coalesce("r", prefix["node"]).alias("root"))
-    rooted = durable(rooted, "neardup-rooted")
-    mixed = rooted.groupBy("v").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("v")
-    rest = rooted.join(mixed, "v", "left_semi")
+    few = rooted.where(F.col("c") <= p.short)
     pairs = (
-        rest.alias("s")
-        .join(rest.alias("t"), F.expr(f"s.v = t.v and s.root < t.root and {near}"))
+        few.alias("s")
+        .join(few.alias("t"), F.expr(f"s.v = t.v and s.root < t.root and {near}"))
         .groupBy(F.col("s.node").alias("a"), F.col("t.node").alias("b"))
-        .agg(F.count("*").alias("c"), F.max(F.least("s.need", "t.need")).alias("need"))
+        .agg(F.count("*").alias("c"), F.max(F.least("s.need", "t.need") - F.least("s.common", "t.common")).alias("need"))
         .where("c >= need")
         .select("a", "b")
     )
