@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from gridstone.llm import common
 from gridstone.llm.common import durable
-from gridstone.llm.tokens import Vocabulary, per_process
+from gridstone.llm.tokens import Memo, Vocabulary, per_process
 
 _HEAD = struct.Struct("<8sQQQBBH")
 _MAGIC = b"GSTOKEN1"
@@ -112,7 +112,7 @@ class TokenFiles:
     tokenizer: str
     end_id: int = 2
     block_ids: int = 1 << 16
-    memo: int = 400_000
+    memo: int = 1_000_000
 
 
 class LibraryEncoder:
@@ -129,16 +129,13 @@ class LibraryEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.parts = Vocabulary(path).parts
-        self.memo: dict[str, bytes] = {}
-        self.most = most
+        self.memo = Memo(most)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         split = [self.parts(t) for t in texts]
-        if len(self.memo) > self.most:
-            self.memo.clear()
-        memo = self.memo
-        fresh = list({w for words in split for w in words if w not in memo})
+        fresh = self.memo.unknown({w for words in split for w in words})
+        memo = self.memo.now
         for at in range(0, len(fresh), 4096):
             some = fresh[at : at + 4096]
             for word, e in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False), strict=True):

@@ -96,6 +96,29 @@ class Vocabulary:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
+class Memo:
+    """Remembers at most ``most`` words, in two generations: words in use move on when the older half is dropped."""
+
+    def __init__(self, most: int) -> None:
+        self.half = most // 2
+        self.now: dict = {}
+        self._before: dict = {}
+
+    def unknown(self, words: set[str]) -> list[str]:
+        """The words to look up anew; all others are in ``now`` after this."""
+        if len(self.now) > self.half:
+            self._before, self.now = self.now, {}
+        now, before = self.now, self._before
+        out = []
+        for w in words:
+            if w not in now:
+                if (found := before.get(w)) is None:
+                    out.append(w)
+                else:
+                    now[w] = found
+        return out
+
+
 _LOADED: dict = {}
 
 
