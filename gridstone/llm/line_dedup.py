@@ -20,6 +20,8 @@ class LineDedup:
     bands x rows: of minima of the signature. At similarity 0.8 a pair shares a band with probability
     1 - (1 - 0.8 ** rows) ** bands, 0.997 with the default; at 0.9 it is 0.99997.
     threshold: Jaccard similarity of the whole shingle sets, in hundredths.
+    rounds: in which members of buckets are compared; see ``_classes``.
+    broadcast_ids: so many ids of candidate lines (8 bytes each) are broadcast to find their bodies; more are joined.
     min_words: only lines with so many words are compared fuzzily or exactly (1: all but blank lines).
     """
 
@@ -28,6 +30,8 @@ class LineDedup:
     rows: int = 3
     threshold: int = 80
     min_words: int = 1
+    rounds: int = 2
+    broadcast_ids: int = 1_000_000
     seed: int = 11
 
 
@@ -47,7 +51,7 @@ def _lines(docs: DataFrame, p: LineDedup) -> DataFrame:
 
 
 def _signatures(lines: DataFrame, p: LineDedup) -> DataFrame:
-    """id, copies (occurrences), keys (the hash of each band of minima), extra: one row per distinct line.
+    """id, copies (occurrences) and minima (ARRAY<INT>) of every distinct line.
 
     The k-th minimum is over ``hash ^ mask_k``; for a random hash every shingle is equally likely to win
     it, so two lines agree on it with the probability of their Jaccard similarity. Shingles stream through one
@@ -62,10 +66,7 @@ def _signatures(lines: DataFrame, p: LineDedup) -> DataFrame:
     minima = [F.min(F.col("h").bitwiseXOR(F.lit(masks.getrandbits(31)))).alias(f"m{j}") for j in range(n)]
     copies = F.count_if(F.col("i") == 1).alias("copies")
     sums = each.groupBy("id").agg(F.min("chk").alias("c0"), F.max("chk").alias("c1"), copies, *minima).where("c0 = c1")
-    keys = [F.xxhash64(F.lit(b), *[f"m{b * p.rows + r}" for r in range(p.rows)]) for b in range(p.bands)]
-    # the second pass narrows a band by one minimum more, that of one of the next three bands
-    extra = [F.col(f"m{((b + 1 + e) % p.bands) * p.rows}") for b in range(p.bands) for e in range(3)]
-    return sums.select("id", "copies", F.array(*keys).alias("keys"), F.array(*extra).alias("extra"))
+    return sums.select("id", "copies", F.array(*[f"m{j}" for j in range(n)]).alias("minima"))
 
 
 def _set(body: Column, size: int) -> Column:
@@ -88,49 +89,53 @@ def _similar(pairs: DataFrame, bodies: DataFrame, p: LineDedup) -> DataFrame:
     return sets.where(100 * F.col("both") >= p.threshold * (F.col("n") + F.col("m") - F.col("both"))).select("a", "b")
 
 
+def _alike(pairs: DataFrame, sig: DataFrame, p: LineDedup) -> DataFrame:
+    """The pairs (a, b) whose signatures agree on as many minima as a similar pair does in 997 cases of 1000."""
+    n = p.bands * p.rows
+    share = p.threshold / 100
+    bound = int(n * share - 2.6 * (n * share * (1 - share)) ** 0.5)
+    left = sig.select(F.col("id").alias("a"), F.col("minima").alias("x"))
+    right = sig.select(F.col("id").alias("b"), F.col("minima").alias("y"))
+    agree = sum(F.when(F.col("x")[i] == F.col("y")[i], 1).otherwise(0) for i in range(n))
+    return pairs.join(left, "a").join(right, "b").where(agree >= bound).select("a", "b")
+
+
 def _classes(lines: DataFrame, sig: DataFrame, p: LineDedup) -> DataFrame:
     """id, root: lines (by hash) that are linked to other lines, with the id of their class.
 
-    First every line of a bucket is compared with the bucket's smallest id only (as many comparisons as
-    members). Classes found so are contracted; buckets that still hold several classes are narrowed by one more
-    minimum, each of three, and there all pairs across classes are compared, until nothing is left.
+    In every bucket of a band two random members are held against all the others; classes found so are contracted,
+    and in the buckets that still hold several classes two other members are held against those of other classes, in
+    so many ``rounds``. A round makes as many comparisons as buckets have members, never all their pairs. Buckets
+    of three are compared in full by the first round; a line of a larger one meets up to two others in each band.
     """
-    bands = sig.select("id", F.explode("keys").alias("key"))
-    pivot = bands.groupBy("key").agg(F.min("id").alias("p"), F.max("id").alias("q")).where("p < q")
-    full = durable(bands.join(pivot, "key").select("id", "key", "p"), "line-buckets")
-    ids = full.select("id").distinct()
-    bodies = durable(lines.select("id", "body").join(ids, "id").dropDuplicates(["id"]), "line-bodies")
-    stars = full.where("id <> p").select(F.col("id").alias("a"), F.col("p").alias("b")).distinct()
-    links = durable(_similar(stars, bodies, p), "line-links")
-    found = durable(connected_components(links, "line-components"), "line-roots")
-
-    mixed = (
-        full.join(found, full["id"] == found["node"], "left")
-        .groupBy("key")
-        .agg(F.min(F.coalesce("root", "id")).alias("r0"), F.max(F.coalesce("root", "id")).alias("r1"))
-        .where("r0 < r1")
-        .select("key")
-    )
-    narrow = F.expr("transform(slice(extra, 3 * band + 1, 3), (m, e) -> xxhash64(key, e, m))")
-    sub = (
-        sig.join(ids, "id", "left_semi")
-        .select("id", "extra", F.posexplode("keys").alias("band", "key"))
-        .join(mixed, "key", "left_semi")
-        .select("id", F.explode(narrow).alias("key"))
-        .join(found, F.col("id") == F.col("node"), "left")
-        .select("id", "key", F.coalesce("root", "id").alias("root"))
-    )
-    several = sub.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("key")
-    sub = durable(sub.join(several, "key", "left_semi"), "line-narrow")
-    one, two = sub.alias("s"), sub.alias("t")
-    rest = (
-        one.join(two, F.expr("s.key = t.key and s.root < t.root"))
-        .select(F.col("s.id").alias("a"), F.col("t.id").alias("b"))
-        .distinct()
-    )
-    more = durable(_similar(rest, bodies, p), "line-links")
-    tree = found.select(F.col("node").alias("a"), F.col("root").alias("b"))
-    return connected_components(tree.unionByName(more), "line-components").withColumnRenamed("node", "id")
+    keys = [F.xxhash64(F.lit(b), *[F.col("minima")[b * p.rows + r] for r in range(p.rows)]) for b in range(p.bands)]
+    bands = sig.select("id", F.explode(F.array(*keys)).alias("key"))
+    shared = bands.groupBy("key").agg(F.min("id").alias("p"), F.max("id").alias("q")).where("p < q").select("key")
+    members = durable(bands.join(shared, "key").select("id", "key", F.col("id").alias("root")), "line-buckets")
+    ids = members.select("id").distinct()
+    if ids.count() <= p.broadcast_ids:
+        ids = F.broadcast(ids)
+    bodies = durable(lines.select("id", "body").join(ids, "id", "left_semi").dropDuplicates(["id"]), "line-bodies")
+    sig = durable(sig.join(ids, "id", "left_semi").select("id", "minima"), "line-minima")
+    masks = random.Random(p.seed + 1)
+    found = None
+    for _ in range(p.rounds):
+        pivots = [F.min(F.col("id").bitwiseXOR(F.lit(m))).bitwiseXOR(F.lit(m)) for m in (masks.getrandbits(63), masks.getrandbits(63))]
+        mixed = members.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.array(*pivots).alias("pivots"))
+        mixed = mixed.where("r0 < r1").select("key", F.explode(F.array_distinct("pivots")).alias("pivot"))
+        pairs = members.join(mixed, "key").where("id <> pivot")
+        if found is not None:
+            other = found.select(F.col("id").alias("pivot"), F.col("root").alias("r"))
+            pairs = pairs.join(other, "pivot", "left").where(F.col("root") != F.coalesce("r", "pivot"))
+        pairs = pairs.select(F.greatest("id", "pivot").alias("a"), F.least("id", "pivot").alias("b")).distinct()
+        links = durable(_similar(_alike(pairs, sig, p), bodies, p), "line-links")
+        if found is not None:
+            links = links.unionByName(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
+        roots = connected_components(links, "line-components").withColumnRenamed("node", "id")
+        found = durable(roots, "line-roots")
+        named = members.select("id", "key").join(found, "id", "left")
+        members = durable(named.select("id", "key", F.coalesce("root", "id").alias("root")), "line-buckets")
+    return found
 
 
 def line_drops(docs: DataFrame, p: LineDedup = LineDedup()) -> DataFrame:
