@@ -27,7 +27,7 @@ class IvfPq:
     sample: int = 20_000
     cells: int = 0
     most_cells: int = 1024
-    probes: float = 0.5
+    probes: float = 0.65
     subspaces: int = 16
     codes: int = 256
     shortlist: int = 300
@@ -140,19 +140,28 @@ def search(rows: DataFrame, queries: Column, p: IvfPq = IvfPq()) -> DataFrame:
                 names=["vec_id", "cell", "codes", "vector"],
             )
 
+    plain = usable.select("vec_id", "v")
+    placed = durable(plain.mapInArrow(place, "vec_id long, cell long, codes binary, vector binary"), "ann-index")
+    held = np.zeros(len(index.coarse), np.int64)
+    for r in placed.groupBy("cell").agg(F.count("*").alias("n")).collect():
+        held[r["cell"]] = r["n"]
+
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         norms = (index.coarse**2).sum(1)
         for batch in batches:
             x = _matrix(batch.column(1))
-            cells = np.argsort(norms - 2 * x @ index.coarse.T, axis=1, kind="stable")[:, :probes] if len(x) else np.zeros((0, 1), np.int64)
-            n = cells.shape[1]
+            if not len(x):
+                continue
+            order = np.argsort(norms - 2 * x @ index.coarse.T, axis=1, kind="stable")
+            before = np.cumsum(held[order], axis=1) - held[order]
+            # so many cells, and more while they hold too few candidates besides the query
+            row, place = np.nonzero((np.arange(order.shape[1]) < probes) | (before <= p.k))
+            vectors = [v.tobytes() for v in x]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(batch.column(0).to_numpy(), n)), pa.array(cells.ravel()), pa.array([v.tobytes() for v in x for _ in range(n)], pa.binary())],
+                [pa.array(batch.column(0).to_numpy()[row]), pa.array(order[row, place]), pa.array([vectors[i] for i in row], pa.binary())],
                 names=["query_id", "cell", "vector"],
             )
 
-    plain = usable.select("vec_id", "v")
-    placed = durable(plain.mapInArrow(place, "vec_id long, cell long, codes binary, vector binary"), "ann-index")
     asked = durable(usable.where("q").select("vec_id", "v").mapInArrow(probe, "query_id long, cell long, vector binary"), "ann-queries")
     parts = placed.groupBy("cell").agg(F.ceil(F.count("*") / p.block_rows).alias("parts"))
     turns = asked.groupBy("cell").agg(F.ceil(F.count("*") / p.block_queries).alias("turns"))
