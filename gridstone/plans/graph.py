@@ -108,6 +108,11 @@ def operation_spec(name: str) -> Operation:
     return REGISTRY[name]
 
 
+def iter_operation_specs() -> list[Operation]:
+    """All operations by name."""
+    return [REGISTRY[n] for n in sorted(REGISTRY)]
+
+
 def register(name: str, parameters: tuple[str, ...] = ()) -> Callable:
     """Decorator that adds an operation of one's own to the registry."""
 
@@ -208,8 +213,7 @@ class GraphBuilder:
     add_quantized_parameter = add_parameter
 
     def add_op(self, op: str, inputs: dict[str, str | list[str]], parameters: dict[str, str] | None = None, output: str | None = None, **attributes: Any) -> str:
-        spec = operation_spec(op)
-        del spec
+        operation_spec(op)
         number = len(self._manifest.nodes)
         node = Node(f"n{number}", op, inputs, output or f"v{number}", parameters or {}, attributes)
         self._manifest.nodes.append(node)
