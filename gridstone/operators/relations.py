@@ -9,8 +9,8 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridstone.frame import LatticeFrame, first_seen, lookup_side, numbered
-from gridstone.geometry import COORDS, KernelSpec, Triple, ball_offsets, floor_div, offset_column
+from gridstone.frame import LatticeFrame, first_seen, lookup_side
+from gridstone.geometry import COORDS, KernelSpec, ball_offsets, floor_div, offset_column
 
 
 @dataclass(frozen=True)
