@@ -1,7 +1,8 @@
-import corpus_pipeline
-from corpora import corpus, documents, edited, words
 import random
 
+import corpus_pipeline
+from corpora import corpus, documents, words
+
 
 def test_stages_keep_what_is_clean(spark, tmp_path):
     rng = random.Random(2)

@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
-from corpora import corpus, documents, edited, empty, words
+from corpora import corpus, documents, empty, words
 from pyspark.sql import functions as F
 
 from gridstone.llm import ann, common, decontaminate, licenses, quality, shard, toxicity
