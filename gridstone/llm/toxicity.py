@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,7 +21,7 @@ class Toxicity:
     window, step: words in a window, and from one window's start to the next one's; windows overlap by the rest.
     rows: labelled documents of each label that the network is fitted on at most (smallest hashes of doc_id).
     words, grams: rows of the hashed embeddings of words and of character 3- and 4-grams. size: of an embedding.
-    hidden: state of each direction. epochs, rate: of training. threshold: score from which a document is toxic.
+    hidden: state of each direction. epochs, rate: of training, and table_rate: its share for embeddings, less with fewer texts; few texts are gone through oftener, until so many ``steps`` are done. threshold: score from which a document is toxic.
     """
 
     window: int = 32
@@ -31,7 +32,9 @@ class Toxicity:
     size: int = 8
     hidden: int = 8
     epochs: int = 24
+    steps: int = 500
     rate: float = 0.01
+    table_rate: float = 0.3
     threshold: float = 0.7
     seed: int = 17
 
@@ -202,18 +205,18 @@ class Network:
         return out
 
 
-def _telling(lex: Lexical, toxic: np.ndarray, p: Toxicity) -> tuple[np.ndarray, np.ndarray]:
+def _telling(lex: Lexical, toxic: np.ndarray, use: np.ndarray, p: Toxicity) -> tuple[np.ndarray, np.ndarray]:
     """-1 to 1 for each word row and each n-gram row: the share of toxic texts that hold it less that of clean ones, by
-    their (smoothed) sum. A few texts at a time."""
+    their (smoothed) sum, over the texts in ``use``."""
     held = {"word": np.zeros((2, p.words)), "gram": np.zeros((2, p.grams))}
-    for i in range(len(toxic)):
+    for i in np.flatnonzero(use):
         words = np.unique(lex.words[lex.cuts[i] : lex.cuts[i + 1]])
         n = lex.gram_n[words]
         at = np.repeat(lex.gram_at[words], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         held["word"][int(toxic[i]), np.unique(lex.word[words])] += 1
         held["gram"][int(toxic[i]), np.unique(lex.gram[at])] += 1
-    n1, n0 = toxic.sum(), (~toxic).sum()
-    word, gram = (((h[1] / n1 - h[0] / n0) / (h[1] / n1 + h[0] / n0 + 3 / n1)).astype(np.float32) for h in held.values())
+    n1, n0 = max(1, (toxic & use).sum()), max(1, (~toxic & use).sum())
+    word, gram = (((h[1] / n1 - h[0] / n0) / (h[1] / n1 + h[0] / n0 + 5 / n1)).astype(np.float32) for h in held.values())
     return word, gram
 
 
@@ -244,22 +247,37 @@ def _fit(texts: list[str], toxic: np.ndarray, p: Toxicity) -> Network:
     first = np.searchsorted(text, np.arange(len(texts)))
     count = np.bincount(text, minlength=len(texts))
     weight = np.where(toxic, 0.5 / toxic.mean(), 0.5 / (1 - toxic.mean())).astype(np.float32)
-    net.w["Zw"], net.w["Zc"] = _telling(lex, toxic, p)
-    fixed = net.inputs(lex)[:, -2:].sum(axis=1)
-    hint = np.where(windows >= 0, fixed[windows], -2).max(axis=1)
+    # a text sees figures from the other half of the texts, else its own rarest words would tell its label
+    half = np.arange(len(texts)) % 2
+    figures = [_telling(lex, toxic, half != f, p) for f in (0, 1)]
+    owner = half[text]
+
+    def over_all(f: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+        out = np.empty(len(windows), np.float32)
+        for side in (0, 1):
+            net.w["Zw"], net.w["Zc"] = figures[side]
+            inputs, own = net.inputs(lex), np.flatnonzero(owner == side)
+            for at in range(0, len(own), 4096):
+                out[own[at : at + 4096]] = f(inputs, windows[own[at : at + 4096]])
+        return out
+
+    hint = over_all(lambda inputs, w: np.where(w >= 0, inputs[w, -2] + inputs[w, -1], -2).max(axis=1))
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.w.items() if k[0] != "Z"}
-    steps = 0
-    for epoch in range(p.epochs):
+    steps, epoch = 0, -1
+    while (epoch := epoch + 1) < p.epochs or steps < p.steps:
         if epoch < 3:
             logits = hint + random.random(len(hint)) / 4
         else:
-            inputs = net.inputs(lex)
-            logits = np.concatenate([net.forward(inputs, windows[at : at + 4096]) for at in range(0, len(windows), 4096)])
+            logits = over_all(net.forward)
         order = np.lexsort((-logits, text))
         rank = np.arange(len(order)) - first[text[order]]
         chosen = order[rank < np.where(toxic[text[order]], 1, 2)]
         chosen = np.concatenate([chosen, random.choice(np.flatnonzero(~toxic[text]), len(chosen) // 2)])
-        for batch in np.array_split(random.permutation(chosen), max(1, len(chosen) // 128)):
+        sides = [random.permutation(chosen[owner[chosen] == side]) for side in (0, 1)]
+        batches = [(side, b) for side in (0, 1) for b in np.array_split(sides[side], max(1, len(sides[side]) // 128)) if len(b)]
+        for number in random.permutation(len(batches)):
+            side, batch = batches[number]
+            net.w["Zw"], net.w["Zc"] = figures[side]
             used, numbers = np.unique(windows[batch], return_inverse=True)
             shift = int(used[0] == -1)
             numbers = numbers.reshape(windows[batch].shape) - shift
@@ -276,13 +294,14 @@ def _fit(texts: list[str], toxic: np.ndarray, p: Toxicity) -> Network:
                 m, v = moments[k]
                 m += 0.1 * (g - m)
                 v += 0.001 * (g * g - v)
-                rate = p.rate / 2 if k[0] == "E" else p.rate  # else the rarest words of few texts are learned by heart
+                rate = p.rate * p.table_rate * min(1, len(texts) / (2 * p.rows)) if k[0] == "E" else p.rate  # else the rarest words of few texts are learned by heart
                 net.w[k] = (net.w[k] - rate * (m / (1 - 0.9**steps)) / (np.sqrt(v / (1 - 0.999**steps)) + 1e-8)).astype(np.float32)
+    net.w["Zw"], net.w["Zc"] = _telling(lex, toxic, half >= 0, p)
     return net
 
 
 def _cut(net: Network, texts: list[str], toxic: np.ndarray, p: Toxicity) -> float:
-    """The middle of the cuts with the least error: the share of toxic texts below, and three times that of clean ones above."""
+    """Three quarters up the cuts with the least error: the share of toxic texts below, and three times that of clean ones above."""
     logits = net.text_logits(Lexical.of(pa.array(texts, pa.large_string()), p))
     bad, good = np.sort(logits[toxic & np.isfinite(logits)]), np.sort(logits[~toxic & np.isfinite(logits)])
     if not len(bad) or not len(good):
@@ -291,11 +310,11 @@ def _cut(net: Network, texts: list[str], toxic: np.ndarray, p: Toxicity) -> floa
     middle = np.concatenate([[edges[0] - 1], (edges[1:] + edges[:-1]) / 2, [edges[-1] + 1]])
     errors = np.searchsorted(bad, middle) / len(bad) + 3 * (1 - np.searchsorted(good, middle) / len(good))
     best = np.flatnonzero(errors == errors.min())
-    return float(middle[best[len(best) // 2]])
+    return float(0.25 * middle[best[0]] + 0.75 * middle[best[-1]])
 
 
 def fit(docs: DataFrame, labels: DataFrame, p: Toxicity = Toxicity()) -> tuple[Network, float]:
-    """Fit on at most ``rows`` documents of each label that are not held out; only those come to the driver."""
+    """Fit on at most ``rows`` documents of each label that are not held out, in one task that holds no more than those."""
     known = labels.where("doc_id is not null and toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.where(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("other")).where("toxic = other")
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
@@ -303,9 +322,18 @@ def fit(docs: DataFrame, labels: DataFrame, p: Toxicity = Toxicity()) -> tuple[N
     chosen = {r["doc_id"]: r["toxic"] for r in some.collect()}
     ids = docs.sparkSession.createDataFrame(sorted(chosen.items()), "doc_id long, toxic int")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = {r["doc_id"]: r["text"] for r in rows.join(F.broadcast(ids), "doc_id", "left_semi").toLocalIterator() if r["text"]}
-    pairs = sorted(found.items())
-    return train([t for _, t in pairs], np.array([chosen[d] == 1 for d, _ in pairs], bool), p)
+    sample = rows.join(F.broadcast(ids), "doc_id").where("text <> ''").repartition(1).sortWithinPartitions("doc_id", "text")
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = {d: (t, y == 1) for batch in batches for d, t, y in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "toxic")), strict=True)}
+        net, cut = train([t for t, _ in found.values()], np.array([y for _, y in found.values()], bool), p)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((net.w, cut))], pa.binary())], names=["model"])
+
+    row = sample.mapInArrow(learn, "model binary").first()
+    if row is None:
+        return Network(p), float("inf")
+    weights, cut = pickle.loads(row["model"])
+    return Network(p, weights), cut
 
 
 def _score(logits: np.ndarray, cut: float, p: Toxicity) -> np.ndarray:
