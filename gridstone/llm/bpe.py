@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import mmap
 import os
+import shutil
 import struct
 import tempfile
 import uuid
-from collections import Counter
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,7 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridstone.llm import common
-from gridstone.llm.tokens import Vocabulary, per_process
+from gridstone.llm.common import durable
+from gridstone.llm.tokens import Memo, Vocabulary, latest_per_process, per_process
 
 _HEAD = struct.Struct("<8sQQQQ")
 _MAGIC = b"GSWORDS1"
@@ -120,50 +123,54 @@ class Lexicon:
 class Bpe:
     """Parameters.
 
-    tokenizer: path of a byte-level BPE file on every machine. words: size of the lexicon; the most frequent
-    pre-tokens of the whole corpus are compiled. memo: pre-tokens remembered in a process at most.
+    tokenizer: path of a byte-level BPE file on every machine. words: of the whole corpus, the most frequent, whose
+    pre-tokens are compiled into the lexicon; that many at most. memo: pre-tokens remembered in a process at most.
     """
 
     tokenizer: str
     words: int = 1 << 16
-    memo: int = 300_000
+    memo: int = 1_000_000
 
 
-def word_counts(docs: DataFrame, p: Bpe) -> DataFrame:
-    """word, n: how often each pre-token occurs in all texts; counted in each task first."""
+def word_counts(docs: DataFrame) -> DataFrame:
+    """word, n: how often each word (a run without white space) occurs in all texts, summed in each task first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = per_process(("vocabulary", p.tokenizer), lambda: Vocabulary(p.tokenizer)).parts
-        counts: Counter[str] = Counter()
+        for batch in common.slices(batches, "text", 16 << 20):
+            buf, start, end, h, _ = common.word_spans(batch.column(0), common.SPACES, fold=False)
+            _, first, n = np.unique(h, return_index=True, return_counts=True)
+            size = end[first] - start[first]
+            ends = np.concatenate([[0], np.cumsum(size)])
+            at = np.repeat(start[first] - ends[:-1], size) + np.arange(ends[-1])
+            words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(buf[at])])
+            yield pa.RecordBatch.from_arrays([words.cast(pa.binary()), pa.array(n)], names=["word", "n"])
 
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
-        for batch in common.slices(batches, "text"):
-            for text in batch.column(0).to_pylist():
-                counts.update(parts(text or ""))
-            if len(counts) > 2 * p.memo:
-                yield out()
-                counts.clear()
-        yield out()
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+def frequent_words(docs: DataFrame, p: Bpe) -> list[str]:
+    """The words that occur at least 2 ** j times, for the smallest j of at least 1 that leaves ``words`` of them or fewer."""
+    counts = durable(word_counts(docs).where("n > 1"), "bpe-words")
+    above = counts.agg(*[F.count_if(F.col("n") >= 1 << j).alias(f"j{j}") for j in range(1, 60)]).first()
+    j = next(j for j in range(1, 60) if (above[f"j{j}"] or 0) <= p.words)
+    return sorted(bytes(r["word"]).decode() for r in counts.where(F.col("n") >= 1 << j).select("word").collect())
 
 
 def build_lexicon(docs: DataFrame, p: Bpe) -> str:
-    """Compile the ``words`` most frequent pre-tokens and hand the file to all executors; returns its name.
+    """Compile the pre-tokens of the most frequent words, with and without a space before them, and hand the file to all executors; returns its name.
 
     The driver holds ``words`` words at most, whatever the input. The file travels with Spark's own file service, which
     also serves executors that start later.
     """
-    top = word_counts(docs, p).orderBy(F.desc("n"), "word").limit(p.words).collect()
     vocabulary = per_process(("vocabulary", p.tokenizer), lambda: Vocabulary(p.tokenizer))
-    words = {r["word"].encode(): vocabulary.merge(r["word"].encode()) for r in top if r["word"] not in vocabulary.specials}
+    parts = {part for word in frequent_words(docs, p) for text in (word, f" {word}") for part in vocabulary.parts(text)}
+    words = {part.encode(): vocabulary.merge(part.encode()) for part in parts if part not in vocabulary.specials}
     folder = tempfile.mkdtemp(prefix="gridstone-")
     path = os.path.join(folder, f"lexicon-{uuid.uuid4().hex}.bin")
     with open(path, "wb") as f:
         f.write(compile_lexicon(words))
     docs.sparkSession.sparkContext.addFile(path)
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)  # it is served from there as long as the driver runs
     return os.path.basename(path)
 
 
@@ -173,26 +180,25 @@ class Encoder:
     def __init__(self, p: Bpe, lexicon: str) -> None:
         self.vocabulary: Vocabulary = per_process(("vocabulary", p.tokenizer), lambda: Vocabulary(p.tokenizer))
         self.lexicon = Lexicon(lexicon)
-        self.most = p.memo
-        self.memo: dict[str, tuple[str, bytes]] = {}
+        self.memo = Memo(p.memo)
+        self._decimal = [str(i) for i in range(len(self.vocabulary.bytes_of))]
 
     def word(self, word: str) -> list[int]:
-        if word in self.vocabulary.specials:
-            return [self.vocabulary.specials[word]]
-        raw = word.encode()
-        ids = self.lexicon.get(raw)
-        return self.vocabulary.merge(raw) if ids is None else ids
+        ids = self.lexicon.get(word.encode())
+        if ids is not None:
+            return ids
+        special = self.vocabulary.specials.get(word)
+        return self.vocabulary.merge(word.encode()) if special is None else [special]
 
-    def __call__(self, text: str) -> tuple[str, np.ndarray]:
+    def __call__(self, text: str) -> tuple[str, list[int]]:
         """The decimal ids joined by commas, and the ids."""
-        parts, memo = self.vocabulary.parts(text), self.memo
-        if len(memo) > self.most:
-            memo.clear()
-        for w in {w for w in parts if w not in memo}:
-            ids = self.word(w)
-            memo[w] = ",".join(map(str, ids)), np.array(ids, "<u4").tobytes()
-        found = [memo[w] for w in parts]
-        return ",".join([f[0] for f in found]), np.frombuffer(b"".join([f[1] for f in found]), "<u4")
+        words = self.vocabulary.parts(text)
+        fresh = self.memo.unknown(set(words))
+        memo = self.memo.now
+        for w in fresh:
+            memo[w] = array("I", self.word(w)).tobytes()
+        ids = np.frombuffer(b"".join(map(memo.__getitem__, words)), np.uint32).tolist()
+        return ",".join(map(self._decimal.__getitem__, ids)), ids
 
 
 def encode_decode(docs: DataFrame, p: Bpe, texts: bool = False) -> DataFrame:
@@ -209,15 +215,15 @@ def encode_decode(docs: DataFrame, p: Bpe, texts: bool = False) -> DataFrame:
     schema = pa.schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = per_process(("encoder", name), lambda: Encoder(p, SparkFiles.get(name)))
+        encoder = latest_per_process("encoder", name, lambda: Encoder(p, SparkFiles.get(name)))
         decode = encoder.vocabulary.decode
         for batch in common.slices(batches, "text", 4 << 20):
             rows: list[tuple] = []
             for text in batch.column(1).to_pylist():
                 joined, ids = encoder(text or "")
-                decoded = decode(ids.tolist())
+                decoded = decode(ids)
                 row = (len(ids), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
-                rows.append((*row, ids.astype(np.int32), decoded) if texts else row)
+                rows.append((*row, ids, decoded) if texts else row)
             columns = [pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), fields[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], schema=schema)
 

@@ -76,7 +76,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"], _POWERS["down"]
 
 
-def _hash_piece(buf: np.ndarray, cuts: np.ndarray, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _hash_piece(buf: np.ndarray, cuts: np.ndarray, separators: np.ndarray, fold: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and hash of each word of ``buf``; a word ends at a separator or a cut."""
     n = len(buf)
     inside = ~separators[buf]
@@ -93,7 +93,7 @@ def _hash_piece(buf: np.ndarray, cuts: np.ndarray, separators: np.ndarray) -> tu
     up, down = _powers(max(n, _PIECE))
     total = np.empty(n + 1, np.uint64)
     total[0] = 0
-    np.cumsum(_TABLE[_LOWER[buf]] * up[:n], out=total[1:])
+    np.cumsum(_TABLE[_LOWER[buf] if fold else buf] * up[:n], out=total[1:])
     return start, end, mix((total[end] - total[start]) * down[start])
 
 
@@ -108,8 +108,8 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def word_spans(column: pa.Array, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes of all texts, then start, end and hash of each lower-cased (A-Z) word, then n + 1 offsets into those.
+def word_spans(column: pa.Array, separators: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of all texts, then start, end and hash of each word (A-Z lower-cased if ``fold``), then n + 1 offsets into those.
 
     Works on about one megabyte at a time; a longer text is cut at separators only.
     """
@@ -122,7 +122,7 @@ def word_spans(column: pa.Array, separators: np.ndarray) -> tuple[np.ndarray, np
             after = np.flatnonzero(separators[buf[stop : stop + _PIECE]])
             stop = stop + int(after[0]) + 1 if len(after) else min(n, stop + _PIECE)
         low, high = np.searchsorted(offsets, (at, stop))
-        start, end, h = _hash_piece(buf[at:stop], offsets[low : high + 1] - at, separators)
+        start, end, h = _hash_piece(buf[at:stop], offsets[low : high + 1] - at, separators, fold)
         starts.append(start + at)
         stops.append(end + at)
         hashes.append(h)

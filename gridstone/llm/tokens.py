@@ -14,6 +14,8 @@ _WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PRE_TOKEN = regex.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^" + _WHITE + r"\p{L}\p{N}]+|[" + _WHITE + r"]+(?![^" + _WHITE + r"])|[" + _WHITE + "]+"
 )
+#: Bytes of a pre-token from which merging goes by a heap.
+_LONG = 256
 
 
 def byte_alphabet() -> list[str]:
@@ -42,7 +44,10 @@ class Vocabulary:
             raise ValueError("special tokens with options are not supported")
         self.ids = {raw(token): i for token, i in model["vocab"].items() if token not in self.specials}
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-        self.ranks = {(raw(a), raw(b)): i for i, (a, b) in enumerate(pairs)}
+        merges = [(raw(a), raw(b)) for a, b in pairs]
+        self.ranks = {(self.ids[a], self.ids[b]): i for i, (a, b) in enumerate(merges)}
+        self.merged = [self.ids[a + b] for a, b in merges]
+        self._byte_ids = [self.ids.get(bytes([b])) for b in range(256)]
         size = max([*self.ids.values(), *self.specials.values()]) + 1
         self.bytes_of = [b""] * size
         for token, i in self.ids.items():
@@ -64,33 +69,43 @@ class Vocabulary:
         return out + PRE_TOKEN.findall(text[at:])
 
     def merge(self, word: bytes) -> list[int]:
-        """Ids of one pre-token: the lowest-ranked, leftmost pair is merged until none is left.
-
-        A heap over a linked list keeps very long words at n log n.
-        """
-        whole = self.ids.get(word)
-        if whole is not None and len(word) == 1:
-            return [whole]
-        parts: list[bytes | None] = [word[i : i + 1] for i in range(len(word))]
-        after = list(range(1, len(parts) + 1))
-        before = list(range(-1, len(parts) - 1))
-        ranks, end = self.ranks, len(parts)
-        heap = [(r, i, parts[i], parts[i + 1]) for i in range(end - 1) if (r := ranks.get((parts[i], parts[i + 1]))) is not None]
+        """Ids of one pre-token: the lowest-ranked, leftmost pair is merged until none is left."""
+        if len(word) > _LONG:
+            return self._merge_long(word)
+        ids = [self._byte_ids[b] for b in word]
+        rank, merged, none = self.ranks.get, self.merged, len(self.merged)
+        waiting = [rank(pair, none) for pair in zip(ids, ids[1:], strict=False)]
+        while waiting and (best := min(waiting)) < none:
+            i = waiting.index(best)
+            ids[i : i + 2] = [merged[best]]
+            del waiting[i]
+            if i:
+                waiting[i - 1] = rank((ids[i - 1], ids[i]), none)
+            if i < len(waiting):
+                waiting[i] = rank((ids[i], ids[i + 1]), none)
+        return ids
+
+    def _merge_long(self, word: bytes) -> list[int]:
+        """The same by a heap over a linked list, n log n for very long words."""
+        ids: list[int | None] = [self._byte_ids[b] for b in word]
+        end, rank = len(ids), self.ranks.get
+        after, before = list(range(1, end + 1)), list(range(-1, end - 1))
+        heap = [(r, i, ids[i], ids[i + 1]) for i in range(end - 1) if (r := rank((ids[i], ids[i + 1]))) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, a, b = heapq.heappop(heap)
+            best, i, a, b = heapq.heappop(heap)
             j = after[i]
-            if parts[i] != a or j >= end or parts[j] != b:
+            if ids[i] != a or j >= end or ids[j] != b:
                 continue
-            parts[i], parts[j] = a + b, None
+            ids[i], ids[j] = self.merged[best], None
             after[i] = k = after[j]
             if k < end:
                 before[k] = i
-                if (r := ranks.get((parts[i], parts[k]))) is not None:
-                    heapq.heappush(heap, (r, i, parts[i], parts[k]))
-            if (h := before[i]) >= 0 and (r := ranks.get((parts[h], parts[i]))) is not None:
-                heapq.heappush(heap, (r, h, parts[h], parts[i]))
-        return [self.ids[p] for p in parts if p is not None]
+                if (r := rank((ids[i], ids[k]))) is not None:
+                    heapq.heappush(heap, (r, i, ids[i], ids[k]))
+            if (h := before[i]) >= 0 and (r := rank((ids[h], ids[i]))) is not None:
+                heapq.heappush(heap, (r, h, ids[h], ids[i]))
+        return [i for i in ids if i is not None]
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
@@ -127,3 +142,12 @@ def per_process(key: object, make: Callable[[], object]) -> object:
     if key not in _LOADED:
         _LOADED[key] = make()
     return _LOADED[key]
+
+
+def latest_per_process(kind: str, key: object, make: Callable[[], object]) -> object:
+    """As ``per_process``, but only the last object of a kind is kept."""
+    held = _LOADED.get(kind)
+    if held is None or held[0] != key:
+        _LOADED.pop(kind, None)
+        _LOADED[kind] = held = key, make()
+    return held[1]
