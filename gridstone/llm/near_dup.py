@@ -30,8 +30,9 @@ class NearDup:
     is 32 on average with deviation 2.5, so a bound of 20 loses three links at exactly 0.8 in a million.
     extra: how many shared values beyond one are asked for in the (accordingly longer) rarest-first prefixes.
     slack: how far below the threshold an estimate may be and still be verified; three deviations.
-    short: lists with so many members at most have all pairs across components compared; longer ones are held
-    against members picked in so many ``rounds`` (see ``near_duplicates``).
+    short: lists with so many members at most have all pairs across components counted; longer ones are first held
+    against members picked in so many ``rounds``, and then joined across components (see ``_long_pairs``).
+    block: members of a long list that stand in one block of that join.
     broadcast_ids: so many ids of candidates (8 bytes each) are broadcast to find their texts; more are joined.
     """
 
@@ -43,6 +44,7 @@ class NearDup:
     slack: float = 0.2
     short: int = 100
     rounds: int = 3
+    block: int = 1_000
     broadcast_ids: int = 1_000_000
     seed: int = 23
 
@@ -123,6 +125,35 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, p: NearDup)
     )
 
 
+def _long_pairs(rooted: DataFrame, p: NearDup) -> DataFrame:
+    """All pairs (a, b) of different components that share ``need`` values of long lists in their prefixes.
+
+    Lists within one component have no such pair and go. Of what is left a class looks up only its rarest values:
+    two classes with ``need`` common ones share one among these, and are paired at the rarest they share. The count
+    is taken inside the join, which deals a list in blocks of members, each against the whole list.
+    """
+    lists = rooted.where((F.col("c") > p.short) & (F.col("common") >= F.col("need")))
+    mixed = lists.groupBy("v").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("v")
+    lists = lists.join(mixed, "v")
+    values = (
+        lists.groupBy("node", "root", "n", "band", "need")
+        .agg(F.sort_array(F.collect_list(F.struct("c", "v"))).alias("held"))
+        .where("size(held) >= need")
+        .select("node", "root", "n", "need", F.col("held.v").alias("held"), F.posexplode("held").alias("pos", "at"))
+        .where("pos <= size(held) - need")
+        .select("node", "root", "n", "need", "held", F.col("at.v").alias("v"))
+    )
+    looked = durable(values, "neardup-long")
+    sizes = looked.groupBy("v").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("m")).where("r0 < r1")
+    looked = looked.join(sizes.select("v", F.ceil(F.col("m") / p.block).cast("int").alias("blocks")), "v")
+    one = looked.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    every = looked.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    near = f"100 * least(s.n, t.n) >= {p.threshold} * greatest(s.n, t.n)"
+    both = "array_intersect(s.held, t.held)"
+    met = f"s.v = t.v and s.block = t.block and s.root < t.root and {near} and size({both}) >= greatest(s.need, t.need) and {both}[0] = s.v"
+    return one.alias("s").join(every.alias("t"), F.expr(met)).select(F.col("s.node").alias("a"), F.col("t.node").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable), kept (doc_id = component_id), a row per document.
 
@@ -135,9 +166,9 @@ def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     Lists are compared in rounds that are linear in their lengths: every member against the most central one (whose
     values are the commonest: of the edited copies of one text that is the text itself, or the copy nearest to it) and
     another. Classes linked so are contracted, and long lists that still hold several components take other members in
-    further rounds; of a class's lists its commonest few stand for all then. In short lists all pairs across components are compared then. What
-    this leaves out is a link between two classes that share no value rarer than ``short`` and of which neither is linked
-    with a central or picked member; for disjoint edits of one text the text itself is at least as near to each.
+    further rounds; of a class's lists its commonest few stand for all then. This only contracts. All pairs across components
+    are compared then: in short lists by counting shared values, which finds every pair that shares one of those, and in
+    long ones by ``_long_pairs``, which finds the pairs that share values of long lists alone.
 
     Defined cases: null texts and texts without words have an empty set, are linked with nothing and kept. Rows
     without doc_id are linked with nothing, have a null component and are kept. Rows that repeat a doc_id count as one
@@ -169,7 +200,7 @@ def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
         .withColumn("common", F.count_if(F.col("c") > p.short).over(by_node))
         .withColumn("own", F.count("*").over(by_node))
         .withColumn("from_top", F.row_number().over(by_node.orderBy(F.desc("c"), "v")))
-        .select("v", "node", "n", "c", "score", "common", "from_top", F.least(least, F.lit(1 + p.extra)).alias("need"), "own")
+        .select("v", "node", "n", "band", "c", "score", "common", "from_top", F.least(least, F.lit(1 + p.extra)).alias("need"), "own")
         .where("own >= need")
         .drop("own")
     )
@@ -212,6 +243,7 @@ def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
         .where("c >= need")
         .select("a", "b")
     )
+    pairs = pairs.unionByName(_long_pairs(rooted, p)).distinct()
     more = durable(_verified(pairs, classes, docs, p), "neardup-links")
     tree = found.select(F.col("node").alias("a"), F.col("root").alias("b"))
     final = durable(connected_components(tree.unionByName(more), "neardup-components"), "neardup-roots")

@@ -49,6 +49,17 @@ def test_near_duplicates_equal_brute_force(spark, size):
     assert got == {i: (len(s), w, w == i) for i, (s, w) in enumerate(zip(sets, want))}
 
 
+@pytest.mark.parametrize("block", [1_000, 40])
+def test_near_duplicates_large_family_without_its_original(spark, block):
+    rng = random.Random(1)
+    base = words(rng, 100)
+    texts = [edited(rng, base, rng.randrange(2, 5)) for _ in range(600)]
+    sets = [shingle_set(t, 2) for t in texts]
+    want = roots(600, [(i, j) for i in range(600) for j in range(i) if similar(sets[i], sets[j])])
+    rows = near_dup.near_duplicates(documents(spark, texts), near_dup.NearDup(shingle=2, block=block)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in rows} == dict(enumerate(want))
+
+
 def test_near_duplicates_awkward_rows(spark):
     assert near_dup.near_duplicates(empty(spark)).count() == 0
     df = spark.createDataFrame([(None, "a b c"), (7, "a b c"), (7, "a b c"), (3, "A b  c"), (None, None)], "doc_id long, text string")
