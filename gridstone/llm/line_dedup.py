@@ -20,7 +20,8 @@ class LineDedup:
     bands x rows: of minima of the signature. At similarity 0.8 a pair shares a band with probability
     1 - (1 - 0.8 ** rows) ** bands, 0.997 with the default; at 0.9 it is 0.99997.
     threshold: Jaccard similarity of the whole shingle sets, in hundredths.
-    rounds: in which members of buckets are compared; see ``_classes``.
+    rounds: in which picked members of buckets are compared, before all pairs that still differ; see ``_classes``.
+    block: members of a bucket that stand in one block of that join.
     broadcast_ids: so many ids of candidate lines (8 bytes each) are broadcast to find their bodies; more are joined.
     min_words: only lines with so many words are compared fuzzily or exactly (1: all but blank lines).
     """
@@ -31,6 +32,7 @@ class LineDedup:
     threshold: int = 80
     min_words: int = 1
     rounds: int = 2
+    block: int = 1_000
     broadcast_ids: int = 1_000_000
     seed: int = 11
 
@@ -89,15 +91,36 @@ def _similar(pairs: DataFrame, bodies: DataFrame, p: LineDedup) -> DataFrame:
     return sets.where(100 * F.col("both") >= p.threshold * (F.col("n") + F.col("m") - F.col("both"))).select("a", "b")
 
 
+def _bound(p: LineDedup) -> int:
+    """As many minima as a similar pair agrees on in 997 cases of 1000."""
+    n, share = p.bands * p.rows, p.threshold / 100
+    return int(n * share - 2.6 * (n * share * (1 - share)) ** 0.5)
+
+
+def _agree(x: str, y: str, p: LineDedup) -> Column:
+    return sum(F.when(F.col(x)[i] == F.col(y)[i], 1).otherwise(0) for i in range(p.bands * p.rows))
+
+
 def _alike(pairs: DataFrame, sig: DataFrame, p: LineDedup) -> DataFrame:
-    """The pairs (a, b) whose signatures agree on as many minima as a similar pair does in 997 cases of 1000."""
-    n = p.bands * p.rows
-    share = p.threshold / 100
-    bound = int(n * share - 2.6 * (n * share * (1 - share)) ** 0.5)
+    """The pairs (a, b) whose signatures agree on ``_bound`` minima."""
     left = sig.select(F.col("id").alias("a"), F.col("minima").alias("x"))
     right = sig.select(F.col("id").alias("b"), F.col("minima").alias("y"))
-    agree = sum(F.when(F.col("x")[i] == F.col("y")[i], 1).otherwise(0) for i in range(n))
-    return pairs.join(left, "a").join(right, "b").where(agree >= bound).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").where(_agree("x", "y", p) >= _bound(p)).select("a", "b")
+
+
+def _rest(members: DataFrame, sig: DataFrame, p: LineDedup) -> DataFrame:
+    """All pairs (a, b) of different classes that share a bucket and are alike.
+
+    Only buckets that hold several classes are looked at, in blocks of members, each against the whole bucket. The
+    signatures are compared inside the join, so pairs that are not alike make no rows.
+    """
+    mixed = members.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("m")).where("r0 < r1")
+    rows = members.join(mixed.select("key", F.ceil(F.col("m") / p.block).cast("int").alias("blocks")), "key").join(sig, "id")
+    rows = durable(rows.select("id", "key", "root", "minima", "blocks"), "line-mixed")
+    one = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    every = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = F.expr("s.key = t.key and s.block = t.block and s.root < t.root") & (_agree("s.minima", "t.minima", p) >= _bound(p))
+    return one.alias("s").join(every.alias("t"), met).select(F.col("s.id").alias("a"), F.col("t.id").alias("b")).distinct()
 
 
 def _classes(lines: DataFrame, sig: DataFrame, p: LineDedup) -> DataFrame:
@@ -135,7 +158,9 @@ def _classes(lines: DataFrame, sig: DataFrame, p: LineDedup) -> DataFrame:
         found = durable(roots, "line-roots")
         named = members.select("id", "key").join(found, "id", "left")
         members = durable(named.select("id", "key", F.coalesce("root", "id").alias("root")), "line-buckets")
-    return found
+    links = durable(_similar(_rest(members, sig, p), bodies, p), "line-links")
+    links = links.unionByName(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
+    return durable(connected_components(links, "line-components").withColumnRenamed("node", "id"), "line-roots")
 
 
 def line_drops(docs: DataFrame, p: LineDedup = LineDedup()) -> DataFrame:

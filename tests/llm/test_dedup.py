@@ -116,6 +116,22 @@ def test_lines_equal_brute_force(spark):
     assert all(got[d] == want[d] for d in range(120, len(texts)) if d in want)
 
 
+@pytest.mark.parametrize("block", [1_000, 40])
+def test_large_family_of_lines_without_its_original(spark, block):
+    rng = random.Random(2)
+    letters = "abcdefghijklmnopqrstuvwxyz "
+    base = [rng.choice(letters) for _ in range(400)]
+    lines = []
+    for _ in range(600):
+        line = list(base)
+        for _ in range(rng.randrange(2, 5)):
+            line[rng.randrange(400)] = rng.choice("0123456789")
+        lines.append("".join(line))
+    want = model_drops(lines)
+    got = {r["doc_id"]: r["dropped"] for r in line_dedup.line_drops(documents(spark, lines), line_dedup.LineDedup(block=block)).collect()}
+    assert got == want
+
+
 def test_lines_in_texts(spark):
     docs = documents(spark, ["a line that stays here\nfoo", "a line that stays here\nbar\n\nfoo", None])
     out = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs).collect()}
