@@ -10,7 +10,6 @@ import shutil
 import struct
 import tempfile
 import uuid
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,7 +21,7 @@ from pyspark.sql import functions as F
 
 from gridstone.llm import common
 from gridstone.llm.common import durable
-from gridstone.llm.tokens import Memo, Vocabulary, latest_per_process, per_process
+from gridstone.llm.tokens import Chunked, Memo, Vocabulary, latest_per_process
 
 _HEAD = struct.Struct("<8sQQQQ")
 _MAGIC = b"GSWORDS1"
@@ -123,82 +122,104 @@ class Lexicon:
 class Bpe:
     """Parameters.
 
-    tokenizer: path of a byte-level BPE file on every machine. words: of the whole corpus, the most frequent, whose
-    pre-tokens are compiled into the lexicon; that many at most. memo: pre-tokens remembered in a process at most.
+    tokenizer: path of a byte-level BPE file on every machine. words: of the whole corpus, the most frequent (chunks:
+    white space and what follows up to the next) that are compiled into the lexicon; that many at most. memo: words
+    remembered in a process at most.
     """
 
     tokenizer: str
-    words: int = 1 << 16
-    memo: int = 1_000_000
+    words: int = 1 << 15
+    memo: int = 300_000
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """word, n: how often each word (a run without white space) occurs in all texts, summed in each task first."""
+    """word, n: how often each word (see ``Chunked``) occurs in all texts, summed in each task first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches, "text", 16 << 20):
-            buf, start, end, h, _ = common.word_spans(batch.column(0), common.SPACES, fold=False)
-            _, first, n = np.unique(h, return_index=True, return_counts=True)
-            size = end[first] - start[first]
+        for batch in common.slices(batches, "text", 6 << 20):
+            found = Chunked.of(batch.column(0))
+            size = found.end - found.start
             ends = np.concatenate([[0], np.cumsum(size)])
-            at = np.repeat(start[first] - ends[:-1], size) + np.arange(ends[-1])
-            words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(buf[at])])
-            yield pa.RecordBatch.from_arrays([words.cast(pa.binary()), pa.array(n)], names=["word", "n"])
+            at = np.repeat(found.start - ends[:-1], size) + np.arange(ends[-1])
+            words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(found.buf[at])])
+            yield pa.RecordBatch.from_arrays([words.cast(pa.binary()), pa.array(np.bincount(found.number, minlength=len(size)))], names=["word", "n"])
 
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def frequent_words(docs: DataFrame, p: Bpe) -> list[str]:
+def frequent_words(docs: DataFrame, p: Bpe) -> DataFrame:
     """The words that occur at least 2 ** j times, for the smallest j of at least 1 that leaves ``words`` of them or fewer."""
     counts = durable(word_counts(docs).where("n > 1"), "bpe-words")
     above = counts.agg(*[F.count_if(F.col("n") >= 1 << j).alias(f"j{j}") for j in range(1, 60)]).first()
     j = next(j for j in range(1, 60) if (above[f"j{j}"] or 0) <= p.words)
-    return sorted(bytes(r["word"]).decode() for r in counts.where(F.col("n") >= 1 << j).select("word").collect())
+    return counts.where(F.col("n") >= 1 << j).select("word")
 
 
 def build_lexicon(docs: DataFrame, p: Bpe) -> str:
-    """Compile the pre-tokens of the most frequent words, with and without a space before them, and hand the file to all executors; returns its name.
+    """Compile the most frequent words and hand the file to all executors; returns its name.
 
-    The driver holds ``words`` words at most, whatever the input. The file travels with Spark's own file service, which
-    also serves executors that start later.
+    One task compiles ``words`` words at most, whatever the input; the driver gets the finished buffer, a few megabytes. The
+    file travels with Spark's own file service, which also serves executors that start later.
     """
-    vocabulary = per_process(("vocabulary", p.tokenizer), lambda: Vocabulary(p.tokenizer))
-    parts = {part for word in frequent_words(docs, p) for text in (word, f" {word}") for part in vocabulary.parts(text)}
-    words = {part.encode(): vocabulary.merge(part.encode()) for part in parts if part not in vocabulary.specials}
+
+    def compiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = Vocabulary(p.tokenizer)
+        words = [w for batch in batches for w in batch.column(0).to_pylist()]
+        buffer = compile_lexicon({w: vocabulary.encode(w.decode()) for w in words})
+        yield pa.RecordBatch.from_arrays([pa.array([buffer], pa.binary())], names=["lexicon"])
+
+    spark = docs.sparkSession
+    rows = frequent_words(docs, p).repartition(1).mapInArrow(compiled, "lexicon binary").collect()
     folder = tempfile.mkdtemp(prefix="gridstone-")
     path = os.path.join(folder, f"lexicon-{uuid.uuid4().hex}.bin")
     with open(path, "wb") as f:
-        f.write(compile_lexicon(words))
-    docs.sparkSession.sparkContext.addFile(path)
+        f.write(rows[0]["lexicon"] if rows else compile_lexicon({}))
+    spark.sparkContext.addFile(path)
     atexit.register(shutil.rmtree, folder, ignore_errors=True)  # it is served from there as long as the driver runs
     return os.path.basename(path)
 
 
 class Encoder:
-    """Texts to ids: remembered pre-tokens, then the lexicon, then exact merging."""
+    """Texts to ids: remembered words, then the lexicon, then exact merging.
+
+    Of a word its ids are kept as decimals with a comma after each. The ids of every distinct word are decoded once; the rare
+    word that decodes to something else than itself is kept in ``odd``.
+    """
 
     def __init__(self, p: Bpe, lexicon: str) -> None:
-        self.vocabulary: Vocabulary = per_process(("vocabulary", p.tokenizer), lambda: Vocabulary(p.tokenizer))
+        self.vocabulary = Vocabulary(p.tokenizer)
         self.lexicon = Lexicon(lexicon)
         self.memo = Memo(p.memo)
-        self._decimal = [str(i) for i in range(len(self.vocabulary.bytes_of))]
-
-    def word(self, word: str) -> list[int]:
-        ids = self.lexicon.get(word.encode())
-        if ids is not None:
-            return ids
-        special = self.vocabulary.specials.get(word)
-        return self.vocabulary.merge(word.encode()) if special is None else [special]
-
-    def __call__(self, text: str) -> tuple[str, list[int]]:
-        """The decimal ids joined by commas, and the ids."""
-        words = self.vocabulary.parts(text)
-        fresh = self.memo.unknown(set(words))
-        memo = self.memo.now
-        for w in fresh:
-            memo[w] = array("I", self.word(w)).tobytes()
-        ids = np.frombuffer(b"".join(map(memo.__getitem__, words)), np.uint32).tolist()
-        return ",".join(map(self._decimal.__getitem__, ids)), ids
+        self._decimal = [b"%d," % i for i in range(len(self.vocabulary.bytes_of))]
+        self.odd: dict[int, bytes] = {}
+
+    def ids(self, word: bytes) -> list[int]:
+        found = self.lexicon.get(word)
+        return self.vocabulary.encode(word.decode()) if found is None else found
+
+    def __call__(self, column: pa.Array) -> Iterator[tuple[int, bytes, bytes]]:
+        """Of each text: how many ids, the decimal ids with a comma after each, the decoded bytes."""
+        chunks = Chunked.of(column)
+        keys = chunks.keys.tolist()
+        fresh = self.memo.unknown(keys)
+        memo, bytes_of = self.memo.now, self.vocabulary.bytes_of
+        for i in fresh:
+            word = chunks.raw(i)
+            ids = self.ids(word)
+            memo[keys[i]] = b"".join([self._decimal[k] for k in ids])
+            if (decoded := b"".join([bytes_of[k] for k in ids])) != word:
+                self.odd[keys[i]] = decoded
+        found = [memo[k] for k in keys]
+        n_ids = np.array([x.count(b",") for x in found], np.int64)
+        before = np.concatenate([[0], np.cumsum(n_ids[chunks.number])])
+        odd = {i: self.odd[k] for i, k in enumerate(keys) if k in self.odd} if self.odd else {}
+        for t in range(len(column)):
+            a, b = chunks.cuts[t], chunks.cuts[t + 1]
+            numbers = chunks.number[a:b].tolist()
+            decoded = chunks.buf[chunks.offsets[t] : chunks.offsets[t + 1]].tobytes()  # each word decodes to itself
+            if odd and not odd.keys().isdisjoint(numbers):
+                decoded = b"".join([odd.get(i) or chunks.raw(i) for i in numbers])
+            yield int(before[b] - before[a]), b"".join([found[i] for i in numbers]), decoded
 
 
 def encode_decode(docs: DataFrame, p: Bpe, texts: bool = False) -> DataFrame:
@@ -206,7 +227,7 @@ def encode_decode(docs: DataFrame, p: Bpe, texts: bool = False) -> DataFrame:
 
     ids_sha256: of the decimal ids joined by commas. decoded_sha256: of the UTF-8 text that decoding the ids gives.
     Defined cases: a null text is empty and has no ids; null and repeated doc_ids keep a row each; extra columns
-    are ignored; an empty table gives an empty result.
+    are ignored; a text of any length is encoded whole; an empty table gives an empty result.
     """
     name = build_lexicon(docs, p)
     fields = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
@@ -215,15 +236,13 @@ def encode_decode(docs: DataFrame, p: Bpe, texts: bool = False) -> DataFrame:
     schema = pa.schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = latest_per_process("encoder", name, lambda: Encoder(p, SparkFiles.get(name)))
-        decode = encoder.vocabulary.decode
-        for batch in common.slices(batches, "text", 4 << 20):
+        encoder = latest_per_process("heavy", name, lambda: Encoder(p, SparkFiles.get(name)))
+        for batch in common.slices(batches, "text", 2 << 20):
             rows: list[tuple] = []
-            for text in batch.column(1).to_pylist():
-                joined, ids = encoder(text or "")
-                decoded = decode(ids)
-                row = (len(ids), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
-                rows.append((*row, ids, decoded) if texts else row)
+            for n, joined, decoded in encoder(batch.column(1)):
+                decoded = decoded.decode("utf-8", "replace")
+                row = (n, hashlib.sha256(joined[:-1]).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
+                rows.append((*row, [int(i) for i in joined[:-1].split(b",") if i], decoded) if texts else row)
             columns = [pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), fields[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], schema=schema)
 

@@ -10,16 +10,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; where unset (tests), a local one is set."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Where that is unset, a local master (tests) gets one;
+    on a cluster this raises, as executors would each write to their own disk."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         jvm = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = jvm.get() if jvm.isDefined() else None
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="gridstone-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(folder)
@@ -40,11 +44,10 @@ def durable(df: DataFrame, name: str) -> DataFrame:
 
 # --- word hashing -------------------------------------------------------------------------
 
-_M64 = (1 << 64) - 1
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INV = pow(_BASE, -1, 1 << 64)
-_TABLE = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64)
-_POWERS: dict[str, np.ndarray] = {}
+_BASE = 0x9E3779B97F4A7C15
+#: Bytes of a word from which it is hashed whole instead of in blocks of eight.
+_LONG = 256
+_KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 #: Bytes of white space that part words: space and \x09-\x0D.
 SPACES = np.zeros(256, bool)
@@ -67,13 +70,25 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or len(_POWERS["up"]) < n:
-        for key, base in (("up", _BASE), ("down", _INV)):
-            steps = np.full(n, base, np.uint64)
-            steps[0] = 1
-            _POWERS[key] = np.cumprod(steps, dtype=np.uint64)
-    return _POWERS["up"], _POWERS["down"]
+def hash_spans(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of ``buf[start:end]``: every eight bytes are mixed in by a bijection, and so is the length."""
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(buf) + 1, "<u8", padded, strides=(1,))
+    size = end - start
+    h = mix(size.astype(np.uint64) + np.uint64(_BASE))
+    live = np.arange(len(start))
+    long = size > _LONG
+    if long.any():
+        live = live[~long]
+        for i in np.flatnonzero(long).tolist():
+            h[i] = xxhash.xxh64_intdigest(buf[start[i] : end[i]].tobytes())
+    at = 0
+    while len(live):
+        left = size[live] - at
+        h[live] = mix(h[live] ^ (eight[start[live] + at] & _KEEP[np.minimum(left, 8)]))
+        at += 8
+        live = live[left > 8]
+    return h
 
 
 def _hash_piece(buf: np.ndarray, cuts: np.ndarray, separators: np.ndarray, fold: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -90,11 +105,7 @@ def _hash_piece(buf: np.ndarray, cuts: np.ndarray, separators: np.ndarray, fold:
     after[cuts[(cuts > 0) & (cuts <= n)] - 1] = False
     start = np.flatnonzero(inside & ~before)
     end = np.flatnonzero(inside & ~after) + 1
-    up, down = _powers(max(n, _PIECE))
-    total = np.empty(n + 1, np.uint64)
-    total[0] = 0
-    np.cumsum(_TABLE[_LOWER[buf] if fold else buf] * up[:n], out=total[1:])
-    return start, end, mix((total[end] - total[start]) * down[start])
+    return start, end, hash_spans(_LOWER[buf] if fold else buf, start, end)
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

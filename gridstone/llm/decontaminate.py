@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridstone.llm import common
-from gridstone.llm.tokens import per_process
+from gridstone.llm.tokens import latest_per_process
 
 
 @dataclass(frozen=True)
@@ -184,7 +184,7 @@ def _blocks(items: DataFrame, p: Decontamination) -> list[list[tuple[int, str]]]
 
 
 def _detector(block: list[tuple[int, str]], p: Decontamination) -> Detector:
-    return per_process(("detector", hash(tuple(block)), p), lambda: Detector(block, p))
+    return latest_per_process("heavy", ("detector", hash(tuple(block)), p), lambda: Detector(block, p))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, p: Decontamination = Decontamination()) -> DataFrame:

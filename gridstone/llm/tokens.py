@@ -1,19 +1,25 @@
-"""Byte-level BPE vocabulary files and exact splitting into pre-tokens."""
+"""Byte-level BPE vocabulary files, exact splitting into chunks and pre-tokens, and encoding by distinct chunks."""
 
 from __future__ import annotations
 
 import heapq
 import json
+import re
 from collections.abc import Callable
+from dataclasses import dataclass
 
-import regex
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 
-# The published pre-token pattern of byte-level BPE, with white space spelt out as Unicode's White_Space
-# (regex's own \s also holds \x1c-\x1f).
-_WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-PRE_TOKEN = regex.compile(
-    r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^" + _WHITE + r"\p{L}\p{N}]+|[" + _WHITE + r"]+(?![^" + _WHITE + r"])|[" + _WHITE + "]+"
-)
+from gridstone.llm import common
+
+# The published pre-token pattern of byte-level BPE, for ASCII.
+ASCII_PRE_TOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
+# UTF-8 of the white space beyond ASCII (Unicode's White_Space).
+WIDE_WHITE = [c.encode() for c in "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"]
+_LEADS = np.zeros(256, bool)
+_LEADS[sorted({w[0] for w in WIDE_WHITE})] = True
 #: Bytes of a pre-token from which merging goes by a heap.
 _LONG = 256
 
@@ -55,18 +61,32 @@ class Vocabulary:
         for content, i in self.specials.items():
             self.bytes_of[i] = content.encode()
         longest_first = sorted(self.specials, key=len, reverse=True)
-        self._special = regex.compile("|".join(map(regex.escape, longest_first))) if longest_first else None
+        if any(c.isspace() for content in self.specials for c in content):
+            raise ValueError("special tokens that hold white space are not supported")
+        self._special = re.compile("|".join(map(re.escape, longest_first))) if longest_first else None
+
+    def _split(self, text: str) -> list[str]:
+        if text.isascii():
+            return ASCII_PRE_TOKEN.findall(text)
+        from tokenizers.pre_tokenizers import ByteLevel  # its Unicode tables decide what a letter or a number is
+
+        pre = per_process("pre-tokenizer", lambda: ByteLevel(add_prefix_space=False, use_regex=True))
+        return [text[a:b] for _, (a, b) in pre.pre_tokenize_str(text)]
 
     def parts(self, text: str) -> list[str]:
         """Pre-tokens and special tokens of a text, in order; joined they are the text."""
         if self._special is None or not any(s in text for s in self.specials):
-            return PRE_TOKEN.findall(text)
+            return self._split(text)
         out, at = [], 0
         for found in self._special.finditer(text):
-            out += PRE_TOKEN.findall(text[at : found.start()])
+            out += self._split(text[at : found.start()])
             out.append(found.group())
             at = found.end()
-        return out + PRE_TOKEN.findall(text[at:])
+        return out + self._split(text[at:])
+
+    def encode(self, text: str) -> list[int]:
+        """Ids of a text, every pre-token merged anew."""
+        return [i for w in self.parts(text) for i in ([self.specials[w]] if w in self.specials else self.merge(w.encode()))]
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of one pre-token: the lowest-ranked, leftmost pair is merged until none is left."""
@@ -112,28 +132,93 @@ class Vocabulary:
 
 
 class Memo:
-    """Remembers at most ``most`` words, in two generations: words in use move on when the older half is dropped."""
+    """Remembers at most ``most`` keys, in two generations: keys in use move on when the older half is dropped."""
 
     def __init__(self, most: int) -> None:
         self.half = most // 2
         self.now: dict = {}
         self._before: dict = {}
 
-    def unknown(self, words: set[str]) -> list[str]:
-        """The words to look up anew; all others are in ``now`` after this."""
+    def unknown(self, keys: list) -> list[int]:
+        """Places of the keys to look up anew; all others are in ``now`` after this."""
         if len(self.now) > self.half:
             self._before, self.now = self.now, {}
         now, before = self.now, self._before
         out = []
-        for w in words:
-            if w not in now:
-                if (found := before.get(w)) is None:
-                    out.append(w)
+        for i, k in enumerate(keys):
+            if k not in now:
+                if (found := before.get(k)) is None:
+                    out.append(i)
                 else:
-                    now[w] = found
+                    now[k] = found
         return out
 
 
+def _white(buf: np.ndarray) -> np.ndarray:
+    """Which bytes belong to white space."""
+    white = common.SPACES[buf]
+    at = np.flatnonzero(_LEADS[buf])
+    if len(at):
+        padded = np.concatenate([buf, np.zeros(2, np.uint8)])
+        found = padded[at].astype(np.uint32) << 16 | padded[at + 1].astype(np.uint32) << 8 | padded[at + 2]
+        for w in WIDE_WHITE:
+            code = int.from_bytes(w, "big") << 8 * (3 - len(w))
+            hits = at[(found if len(w) == 3 else found & np.uint32(0xFFFF00)) == code]
+            for i in range(len(w)):
+                white[hits + i] = True
+    return white
+
+
+@dataclass
+class Chunked:
+    """Texts as numbers of distinct chunks. A chunk begins where a text does and where white space begins.
+
+    Outside of white space no pre-token goes on across such a place, and within white space the pattern looks
+    at the next character alone, which is in the same chunk; so the pre-tokens of a text are those of its chunks in order.
+
+    buf: bytes of all texts. keys: 64-bit hashes of the distinct chunks. start, end: where the first of each stands.
+    number: which one each chunk is. cuts: n + 1 offsets of the texts into ``number``.
+    """
+
+    buf: np.ndarray
+    keys: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    number: np.ndarray
+    cuts: np.ndarray
+    offsets: np.ndarray
+
+    @classmethod
+    def of(cls, column: pa.Array) -> Chunked:
+        buf, offsets = common.text_buffer(column)
+        n = len(buf)
+        if not n:
+            none = np.zeros(0, np.int64)
+            return cls(buf, none.astype(np.uint64), none, none, none, np.zeros(len(offsets), np.int64), offsets)
+        white = _white(buf)
+        begins = white.copy()
+        begins[1:] &= ~white[:-1]
+        begins[offsets[:-1][offsets[:-1] < n]] = True
+        start = np.flatnonzero(begins)
+        end = np.append(start[1:], n)
+        number, keys = pd.factorize(common.hash_spans(buf, start, end))
+        first = np.empty(len(keys), np.int64)
+        first[number[::-1]] = np.arange(len(number))[::-1]
+        return cls(buf, keys, start[first], end[first], number, np.searchsorted(start, offsets), offsets)
+
+    def raw(self, i: int) -> bytes:
+        """The i-th distinct chunk."""
+        return self.buf[self.start[i] : self.end[i]].tobytes()
+
+
+def gather(flat: np.ndarray, sizes: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces of ``flat`` (side by side, of these sizes) in the order of ``number``, and n + 1 offsets of them."""
+    begins = np.concatenate([[0], np.cumsum(sizes)])[:-1]
+    size = sizes[number]
+    at = np.concatenate([[0], np.cumsum(size)])
+    return flat[np.repeat(begins[number] - at[:-1], size) + np.arange(at[-1])], at
+
+
 _LOADED: dict = {}
 
 
@@ -145,7 +230,8 @@ def per_process(key: object, make: Callable[[], object]) -> object:
 
 
 def latest_per_process(kind: str, key: object, make: Callable[[], object]) -> object:
-    """As ``per_process``, but only the last object of a kind is kept."""
+    """As ``per_process``, but only the last object of a kind is kept: workers go from operator to operator, and the kind
+    ``heavy`` is for what an operator need not hold once another one runs."""
     held = _LOADED.get(kind)
     if held is None or held[0] != key:
         _LOADED.pop(kind, None)

@@ -3,6 +3,7 @@ import os
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from corpora import corpus, documents, empty
 from hypothesis import given, settings
@@ -10,7 +11,7 @@ from hypothesis import strategies as st
 
 from gridstone.llm import bpe, token_file
 from gridstone.llm.queries import tokenizer_path
-from gridstone.llm.tokens import Memo, Vocabulary
+from gridstone.llm.tokens import Chunked, Memo, Vocabulary
 
 os.environ["TOKENIZERS_PARALLELISM"] = "false"
 
@@ -53,8 +54,25 @@ def test_own_merging_equals_the_library(text):
         return
     parts = vocabulary.parts(text)
     assert "".join(parts) == text
-    own = [i for w in parts for i in ([vocabulary.specials[w]] if w in vocabulary.specials else vocabulary.merge(w.encode()))]
-    assert own == library.encode(text, add_special_tokens=False).ids
+    assert vocabulary.encode(text) == library.encode(text, add_special_tokens=False).ids
+    chunks = Chunked.of(pa.array([text, text]))
+    assert [i for k in chunks.number for i in vocabulary.encode(chunks.raw(k).decode())] == 2 * vocabulary.encode(text)
+    assert sum(len(chunks.raw(k)) for k in chunks.number[chunks.cuts[1] :]) == len(text.encode())
+
+
+def test_every_code_point_equals_the_library(vocabulary, library, tmp_path):
+    """As a letter before a contraction, in words, between spaces: by own merging and by the library on distinct chunks."""
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    (tmp_path / "none").write_bytes(bpe.compile_lexicon({}))
+    own = bpe.Encoder(bpe.Bpe(tokenizer_path(), memo=1 << 30), str(tmp_path / "none"))
+    chunked = token_file.LibraryEncoder(tokenizer_path(), 1 << 30)
+    for at in range(0, len(points), 20_000):
+        texts = [f"{c}'s a{c}1 {c}{c} b {c}" for c in points[at : at + 20_000]]
+        want = [e.ids for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+        column = pa.array(texts)
+        assert [joined for _, joined, _ in own(column)] == ["".join(f"{i}," for i in ids).encode() for ids in want]
+        ids, cuts = chunked(column)
+        assert ids.tolist() == [i for x in want for i in x] and np.diff(cuts).tolist() == list(map(len, want))
 
 
 def test_lexicon(tmp_path):
@@ -73,9 +91,10 @@ def test_lexicon(tmp_path):
 def test_memo_keeps_words_in_use():
     memo = Memo(4)
     for w in "abcdefg":
-        for u in memo.unknown({w, "a"}):
-            memo.now[u] = u
-    assert memo.unknown({"a"}) == [] and len(memo.now) <= 4
+        keys = [w, "a"]
+        for i in memo.unknown(keys):
+            memo.now[keys[i]] = keys[i]
+    assert memo.unknown(["a"]) == [] and len(memo.now) <= 4
 
 
 @given(st.lists(st.integers(0, 5000), max_size=300), st.integers(0, 3))
@@ -97,8 +116,9 @@ def test_elias_fano_is_small():
 def test_block_round_trip():
     for top in (100, 70_000):
         ids = np.random.default_rng(2).integers(0, top, 500)
-        coded, back = token_file.read_block(token_file.write_block(np.array([0, 10, 10, 500]), ids))
-        assert back.tolist() == ids.tolist() and coded.all().tolist() == [0, 10, 10, 500]
+        for names in ([None, -5, -5, 1 << 40], [7, 7, 8, 9], [None] * 4, [-(1 << 63), 0, 1, (1 << 63) - 1]):
+            coded, back, doc_ids = token_file.read_block(token_file.write_block(np.array([0, 10, 10, 500]), ids, names))
+            assert back.tolist() == ids.tolist() and coded.all().tolist() == [0, 10, 10, 500] and doc_ids == names
     with pytest.raises(ValueError):
         token_file.read_block(b"x" * 80)
 
