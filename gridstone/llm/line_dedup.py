@@ -10,17 +10,19 @@ from pyspark.sql import functions as F
 
 from gridstone.llm.common import durable
 from gridstone.llm.components import connected_components
+from gridstone.llm.differences import links_within, references
 
 
 @dataclass(frozen=True)
 class LineDedup:
     """Parameters.
 
-    shingle: bytes of UTF-8 in a character shingle (a shorter line is one shingle).
+    shingle: characters (UTF-16 units) in a character shingle; a shorter line is one shingle.
     bands x rows: of minima of the signature. At similarity 0.8 a pair shares a band with probability
     1 - (1 - 0.8 ** rows) ** bands, 0.997 with the default; at 0.9 it is 0.99997.
     threshold: Jaccard similarity of the whole shingle sets, in hundredths.
     rounds: in which picked members of buckets are compared, before all pairs that still differ; see ``_classes``.
+    near: minima that a line and its reference agree on at least.
     block: members of a bucket that stand in one block of that join.
     broadcast_ids: so many ids of candidate lines (8 bytes each) are broadcast to find their bodies; more are joined.
     min_words: only lines with so many words are compared fuzzily or exactly (1: all but blank lines).
@@ -32,13 +34,30 @@ class LineDedup:
     threshold: int = 80
     min_words: int = 1
     rounds: int = 2
+    near: int = 12
     block: int = 1_000
     broadcast_ids: int = 1_000_000
     seed: int = 11
 
 
+#: Left shifts that take windows of 32 bits out of a 64-bit hash; their first ten bits, which decide most minima, are disjoint.
+SHIFTS = (0, 11, 21, 32)
+
+
+def family(p: LineDedup) -> tuple[list[int], list[tuple[int, int, int]]]:
+    """Masks of the 64-bit words drawn from a shingle's hash, and (word, shift, 32-bit mask) of each minimum, by band and row.
+
+    The rows of a band come from different words, so they are independent; bands share a word at different shifts.
+    """
+    random_ = random.Random(p.seed)
+    signed = lambda bits: random_.getrandbits(bits) - (1 << bits - 1)
+    each = -(-p.bands // len(SHIFTS))
+    words = [signed(64) for _ in range(p.rows * each)]
+    return words, [(r * each + b // len(SHIFTS), SHIFTS[b % len(SHIFTS)], signed(32)) for b in range(p.bands) for r in range(p.rows)]
+
+
 def _lines(docs: DataFrame, p: LineDedup) -> DataFrame:
-    """One row per line that is not blank: doc_id, pos, id and chk (two 64-bit hashes of the line), body (UTF-8)."""
+    """One row per line that is not blank: doc_id, pos, id and chk (two 64-bit hashes of the line), line."""
     rows = docs.where("doc_id is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     rows = rows.where(F.trim("line") != "")
     if p.min_words > 1:
@@ -48,43 +67,48 @@ def _lines(docs: DataFrame, p: LineDedup) -> DataFrame:
         "pos",
         F.xxhash64("line").alias("id"),
         F.xxhash64(F.lit(p.seed), F.col("line")).alias("chk"),
-        F.encode("line", "utf-8").alias("body"),
+        "line",
     )
 
 
+def _places(body: Column, p: LineDedup) -> Column:
+    """Where shingles begin in UTF-16, in bytes from 1."""
+    units = F.shiftright(F.length(body), 1)
+    return F.sequence(F.lit(1), F.greatest(2 * units - (2 * p.shingle - 1), F.lit(1)), F.lit(2))
+
+
 def _signatures(lines: DataFrame, p: LineDedup) -> DataFrame:
     """id, copies (occurrences) and minima (ARRAY<INT>) of every distinct line.
 
-    The k-th minimum is over ``hash ^ mask_k``; for a random hash every shingle is equally likely to win
+    Each minimum is over a 32-bit window of a hash of the shingle, xor a mask: every shingle is equally likely to win
     it, so two lines agree on it with the probability of their Jaccard similarity. Shingles stream through one
     generated-code stage into a map-side aggregate and are never stored. Two different lines with the same 64-bit id
     (then chk differs) are left out, and so are never taken for copies.
     """
-    masks = random.Random(p.seed)
-    n = p.bands * p.rows
-    each = lines.select(
-        "id", "chk", "body", F.explode(F.sequence(F.lit(1), F.greatest(F.length("body") - (p.shingle - 1), F.lit(1)))).alias("i")
-    ).select("id", "chk", "i", F.hash(F.substring("body", F.col("i"), F.lit(p.shingle))).alias("h"))
-    minima = [F.min(F.col("h").bitwiseXOR(F.lit(masks.getrandbits(31)))).alias(f"m{j}") for j in range(n)]
+    words, minima = family(p)
+    body = F.encode("line", "utf-16be").alias("body")
+    each = lines.select("id", "chk", body).select("id", "chk", "body", F.explode(_places(F.col("body"), p)).alias("i"))
+    each = each.select("id", "chk", "i", F.xxhash64(F.substring("body", F.col("i"), F.lit(2 * p.shingle))).alias("h"))
+    each = each.select("id", "chk", "i", *[F.xxhash64(F.col("h").bitwiseXOR(F.lit(m))).alias(f"w{k}") for k, m in enumerate(words)])
+    window = lambda w, s, m: F.shiftright(F.shiftleft(f"w{w}", s), 32).cast("int").bitwiseXOR(F.lit(m).cast("int"))
+    columns = [F.min(window(*x)).alias(f"m{j}") for j, x in enumerate(minima)]
     copies = F.count_if(F.col("i") == 1).alias("copies")
-    sums = each.groupBy("id").agg(F.min("chk").alias("c0"), F.max("chk").alias("c1"), copies, *minima).where("c0 = c1")
-    return sums.select("id", "copies", F.array(*[f"m{j}" for j in range(n)]).alias("minima"))
+    sums = each.groupBy("id").agg(F.min("chk").alias("c0"), F.max("chk").alias("c1"), copies, *columns).where("c0 = c1")
+    return sums.select("id", "copies", F.array(*[f"m{j}" for j in range(len(minima))]).alias("minima"))
 
 
-def _set(body: Column, size: int) -> Column:
-    """Shingles as xxhash64 values; for eight bytes (the default) that hash is a bijection, so the set is exact."""
-    starts = F.sequence(F.lit(1), F.greatest(F.length(body) - (size - 1), F.lit(1)))
-    return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.substring(body, i, F.lit(size)))))
+def _set(name: str, p: LineDedup) -> Column:
+    """The distinct shingles of a column of lines (stored as UTF-16, so that this is not encoded for every shingle), as 64-bit hashes."""
+    body = F.col(name)
+    return F.array_distinct(F.transform(_places(body, p), lambda i: F.xxhash64(F.substring(body, i, F.lit(2 * p.shingle)))))
 
 
 def _similar(pairs: DataFrame, bodies: DataFrame, p: LineDedup) -> DataFrame:
     """The pairs (a, b) whose whole shingle sets meet the threshold."""
-    left = bodies.select(F.col("id").alias("a"), F.col("body").alias("x"))
-    right = bodies.select(F.col("id").alias("b"), F.col("body").alias("y"))
     sets = (
-        pairs.join(left, "a")
-        .join(right, "b")
-        .select("a", "b", _set(F.col("x"), p.shingle).alias("x"), _set(F.col("y"), p.shingle).alias("y"))
+        pairs.join(bodies.toDF("a", "x"), "a")
+        .join(bodies.toDF("b", "y"), "b")
+        .select("a", "b", _set("x", p).alias("x"), _set("y", p).alias("y"))
         .where(100 * F.least(F.size("x"), F.size("y")) >= p.threshold * F.greatest(F.size("x"), F.size("y")))
         .select("a", "b", F.size("x").alias("n"), F.size("y").alias("m"), F.size(F.array_intersect("x", "y")).alias("both"))
     )
@@ -101,35 +125,51 @@ def _agree(x: str, y: str, p: LineDedup) -> Column:
     return sum(F.when(F.col(x)[i] == F.col(y)[i], 1).otherwise(0) for i in range(p.bands * p.rows))
 
 
-def _alike(pairs: DataFrame, sig: DataFrame, p: LineDedup) -> DataFrame:
-    """The pairs (a, b) whose signatures agree on ``_bound`` minima."""
-    left = sig.select(F.col("id").alias("a"), F.col("minima").alias("x"))
-    right = sig.select(F.col("id").alias("b"), F.col("minima").alias("y"))
-    return pairs.join(left, "a").join(right, "b").where(_agree("x", "y", p) >= _bound(p)).select("a", "b")
+def _agreeing(pairs: DataFrame, sig: DataFrame, p: LineDedup) -> DataFrame:
+    """node, b, agree: the pairs with the number of minima their signatures agree on."""
+    left, right = sig.toDF("node", "x"), sig.toDF("b", "y")
+    return pairs.join(left, "node").join(right, "b").select("node", "b", _agree("x", "y", p).alias("agree"))
 
 
 def _rest(members: DataFrame, sig: DataFrame, p: LineDedup) -> DataFrame:
-    """All pairs (a, b) of different classes that share a bucket and are alike.
+    """All pairs (a, b) of different classes and references that share a bucket and are alike.
 
-    Only buckets that hold several classes are looked at, in blocks of members, each against the whole bucket. The
-    signatures are compared inside the join, so pairs that are not alike make no rows.
+    Only buckets that hold several classes and references are looked at, in blocks of members, each against the whole
+    bucket. The signatures are compared inside the join, so pairs that are not alike make no rows.
     """
-    mixed = members.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("m")).where("r0 < r1")
+    ends = [f(c).alias(f"{c}{i}") for c in ("root", "ref") for i, f in enumerate((F.min, F.max))]
+    mixed = members.groupBy("key").agg(*ends, F.count("*").alias("m")).where("root0 < root1 and ref0 < ref1")
     rows = members.join(mixed.select("key", F.ceil(F.col("m") / p.block).cast("int").alias("blocks")), "key").join(sig, "id")
-    rows = durable(rows.select("id", "key", "root", "minima", "blocks"), "line-mixed")
+    rows = durable(rows.select("id", "key", "root", "ref", "minima", "blocks"), "line-mixed")
     one = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     every = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = F.expr("s.key = t.key and s.block = t.block and s.root < t.root") & (_agree("s.minima", "t.minima", p) >= _bound(p))
+    met = F.expr("s.key = t.key and s.block = t.block and s.root < t.root and s.ref <> t.ref") & (_agree("s.minima", "t.minima", p) >= _bound(p))
     return one.alias("s").join(every.alias("t"), met).select(F.col("s.id").alias("a"), F.col("t.id").alias("b")).distinct()
 
 
+def _within(state: DataFrame, bodies: DataFrame, p: LineDedup) -> DataFrame:
+    """All links (a, b) between different classes among the lines of one reference; see ``links_within``."""
+    groups = state.groupBy("ref").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("ref")
+    rows = durable(state.join(groups, "ref").select("id", "root", "ref"), "line-groups")
+    sets = bodies.join(rows.select("id"), "id", "left_semi").select(F.col("id").alias("node"), _set("body", p).alias("x"))
+    pivots = bodies.join(rows.select("ref").distinct(), F.col("id") == F.col("ref"), "left_semi").select(F.col("id").alias("ref"), _set("body", p).alias("y"))
+    found = (
+        rows.withColumnRenamed("id", "node")
+        .join(sets, "node")
+        .join(pivots, "ref")
+        .select("node", "root", "ref", F.size("x").alias("n"), F.size("y").alias("m"), F.array_union(F.array_except("x", "y"), F.array_except("y", "x")).alias("d"))
+    )
+    return links_within(durable(found, "line-differences"), p.threshold, p.block, "line-within")
+
+
 def _classes(lines: DataFrame, sig: DataFrame, p: LineDedup) -> DataFrame:
     """id, root: lines (by hash) that are linked to other lines, with the id of their class.
 
-    In every bucket of a band two random members are held against all the others; classes found so are contracted,
-    and in the buckets that still hold several classes two other members are held against those of other classes, in
-    so many ``rounds``. A round makes as many comparisons as buckets have members, never all their pairs. Buckets
-    of three are compared in full by the first round; a line of a larger one meets up to two others in each band.
+    In every bucket of a band a random member is held against all the others; classes found so are contracted, and in the
+    buckets that still hold several classes another member is held against those of other classes, in so many
+    ``rounds``. A round makes as many comparisons as buckets have members. This only contracts. All pairs of a bucket that
+    are left between different classes are compared then: lines near the same member (their reference) by what they
+    differ from it, ``_within``, and all others by signatures first, ``_rest``.
     """
     keys = [F.xxhash64(F.lit(b), *[F.col("minima")[b * p.rows + r] for r in range(p.rows)]) for b in range(p.bands)]
     bands = sig.select("id", F.explode(F.array(*keys)).alias("key"))
@@ -138,28 +178,34 @@ def _classes(lines: DataFrame, sig: DataFrame, p: LineDedup) -> DataFrame:
     ids = members.select("id").distinct()
     if ids.count() <= p.broadcast_ids:
         ids = F.broadcast(ids)
-    bodies = durable(lines.select("id", "body").join(ids, "id", "left_semi").dropDuplicates(["id"]), "line-bodies")
+    bodies = durable(lines.select("id", F.encode("line", "utf-16be").alias("body")).join(ids, "id", "left_semi").dropDuplicates(["id"]), "line-bodies")
     sig = durable(sig.join(ids, "id", "left_semi").select("id", "minima"), "line-minima")
     masks = random.Random(p.seed + 1)
     found = None
     for _ in range(p.rounds):
-        pivots = [F.min(F.col("id").bitwiseXOR(F.lit(m))).bitwiseXOR(F.lit(m)) for m in (masks.getrandbits(63), masks.getrandbits(63))]
-        mixed = members.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.array(*pivots).alias("pivots"))
-        mixed = mixed.where("r0 < r1").select("key", F.explode(F.array_distinct("pivots")).alias("pivot"))
-        pairs = members.join(mixed, "key").where("id <> pivot")
+        mask = F.lit(masks.getrandbits(63))
+        pivot = F.min(F.col("id").bitwiseXOR(mask)).bitwiseXOR(mask)
+        mixed = members.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), pivot.alias("b"))
+        pairs = members.withColumnRenamed("id", "node").join(mixed.where("r0 < r1").select("key", "b"), "key").where("node <> b")
         if found is not None:
-            other = found.select(F.col("id").alias("pivot"), F.col("root").alias("r"))
-            pairs = pairs.join(other, "pivot", "left").where(F.col("root") != F.coalesce("r", "pivot"))
-        pairs = pairs.select(F.greatest("id", "pivot").alias("a"), F.least("id", "pivot").alias("b")).distinct()
-        links = durable(_similar(_alike(pairs, sig, p), bodies, p), "line-links")
+            other = found.select(F.col("id").alias("b"), F.col("root").alias("r"))
+            pairs = pairs.join(other, "b", "left").where(F.col("root") != F.coalesce("r", "b"))
+        pairs = _agreeing(pairs.select("node", "b").distinct(), sig, p)
+        if found is None:
+            pairs = durable(pairs.where(F.col("agree") >= p.near), "line-near")
+            refs = durable(references(pairs).withColumnRenamed("node", "id"), "line-references")
+        pairs = pairs.where(F.col("agree") >= _bound(p)).select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
+        links = durable(_similar(pairs, bodies, p), "line-links")
         if found is not None:
             links = links.unionByName(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
         roots = connected_components(links, "line-components").withColumnRenamed("node", "id")
         found = durable(roots, "line-roots")
         named = members.select("id", "key").join(found, "id", "left")
         members = durable(named.select("id", "key", F.coalesce("root", "id").alias("root")), "line-buckets")
-    links = durable(_similar(_rest(members, sig, p), bodies, p), "line-links")
-    links = links.unionByName(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
+    members = members.join(refs, "id", "left").withColumn("ref", F.coalesce("ref", "id"))
+    state = members.select("id", "root", "ref").distinct()
+    links = _similar(_rest(members, sig, p), bodies, p).unionByName(_within(state, bodies, p))
+    links = durable(links, "line-links").unionByName(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     return durable(connected_components(links, "line-components").withColumnRenamed("node", "id"), "line-roots")
 
 
@@ -168,7 +214,8 @@ def line_drops(docs: DataFrame, p: LineDedup = LineDedup()) -> DataFrame:
 
     Exact copies (same id and chk) form a class even where no other line is near. Defined cases: null or
     empty texts and blank lines have no line to drop; rows without a doc_id are left as they are; rows that repeat a
-    doc_id count as one document, so a line at the same place of both is one occurrence.
+    doc_id count as one document, so a line at the same place of both is one occurrence; a line of any length is compared
+    whole; extra columns are ignored; an empty table gives an empty result.
     """
     lines = _lines(docs, p)
     sig = durable(_signatures(lines, p), "line-signatures")
@@ -178,22 +225,30 @@ def line_drops(docs: DataFrame, p: LineDedup = LineDedup()) -> DataFrame:
         copies.join(classes, "id", "full_outer").select("id", F.coalesce("root", "id").alias("class")), "line-classes"
     )
     of = durable(lines.select("doc_id", "pos", "id").join(named, "id").select("doc_id", "pos", "class"), "line-members")
-    first = of.groupBy("class").agg(F.min(F.struct("doc_id", "pos")).alias("first"))
+    first = durable(of.groupBy("class").agg(F.min("doc_id").alias("d0")), "line-firsts")  # a table, so that hot classes are split below
+    later = F.when(F.col("doc_id") > F.col("d0"), F.col("at")).otherwise(F.array_except("at", F.array(F.array_min("at"))))
     return (
         of.join(first, "class")
-        .where(F.struct("doc_id", "pos") != F.col("first"))
+        .groupBy("doc_id", "class", "d0")
+        .agg(F.collect_set("pos").alias("at"))
+        .select("doc_id", later.alias("at"))
+        .where("size(at) > 0")
         .groupBy("doc_id")
-        .agg(F.sort_array(F.collect_set("pos")).alias("dropped"))
+        .agg(F.array_sort(F.flatten(F.collect_list("at"))).alias("dropped"))
     )
 
 
-def dedup_lines(docs: DataFrame, p: LineDedup = LineDedup()) -> DataFrame:
-    """``docs`` with all its columns; ``text`` without its dropped lines. No document is removed."""
-    drops = line_drops(docs, p).select(F.col("doc_id").alias("_doc"), F.col("dropped").alias("_dropped"))
-    kept = F.array_join(
-        F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains(F.col("_dropped"), i)), "\n"
-    )
-    text = F.when(F.col("_dropped").isNull(), F.col("text")).otherwise(kept).alias("text")
-    return docs.join(drops, docs["doc_id"] == drops["_doc"], "left").select(
-        *[text if c == "text" else docs[c] for c in docs.columns]
-    )
+def dedup_lines(docs: DataFrame, p: LineDedup = LineDedup(), drop_emptied: bool = False) -> DataFrame:
+    """``docs`` with all its columns; ``text`` without its dropped lines.
+
+    No document is removed unless ``drop_emptied``: then those go that had lines and have none left but blank ones.
+    """
+    free = [c for c in (f"_line{i}" for i in range(len(docs.columns) + 2)) if c not in docs.columns]
+    drops = line_drops(docs, p).toDF(*free[:2])
+    dropped = F.col(free[1])
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains(dropped, i)), "\n")
+    text = F.when(dropped.isNull(), F.col("text")).otherwise(kept).alias("text")
+    joined = docs.join(drops, F.col("doc_id") == F.col(free[0]), "left").select(*[text if c == "text" else docs[c] for c in docs.columns], dropped)
+    if drop_emptied:
+        joined = joined.where(dropped.isNull() | (F.trim(F.translate("text", "\n", "")) != ""))
+    return joined.drop(free[1])

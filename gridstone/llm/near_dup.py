@@ -18,32 +18,34 @@ from pyspark.sql import functions as F
 from gridstone.llm import common
 from gridstone.llm.common import durable
 from gridstone.llm.components import connected_components
+from gridstone.llm.differences import links_within, met, references
 
 
 @dataclass(frozen=True)
 class NearDup:
     """Parameters.
 
-    shingle: words in a shingle. threshold: Jaccard similarity of shingle sets, in hundredths.
-    k: values a sketch retains. overlap: values two linked sketches share at least (sets of fewer than k are held
-    whole, and then the bound follows from the threshold). With k = 40 and similarity 0.8 the shared count
-    is 32 on average with deviation 2.5, so a bound of 20 loses three links at exactly 0.8 in a million.
-    extra: how many shared values beyond one are asked for in the (accordingly longer) rarest-first prefixes.
-    slack: how far below the threshold an estimate may be and still be verified; three deviations.
-    short: lists with so many members at most have all pairs across components counted; longer ones are first held
-    against members picked in so many ``rounds``, and then joined across components (see ``_long_pairs``).
-    block: members of a long list that stand in one block of that join.
+    shingle: words in a shingle. threshold: Jaccard similarity of shingle sets, in hundredths (70 to 100).
+    k: values a sketch retains. Inverted lists belong to two neighbouring retained values, which unrelated documents
+    seldom share. overlap: lists that two linked sketches have in common at least. With k = 64 and similarity 0.8 they share 40
+    to 44 of 63 on average with deviation 5, so a bound of 15 loses about one link at exactly 0.8 in a million (smaller
+    sets are held whole, and there the bound follows from the threshold without loss).
+    extra: how many common lists beyond one are asked for in the (accordingly longer) rarest-first prefixes.
+    slack: how far below the threshold an estimate may be and still be verified; four deviations.
+    rounds: in which members picked from each list are held against the others, before all that still differ are joined.
+    near: lists that a class and its reference have in common at least.
+    block: members of a list that stand in one block of that join.
     broadcast_ids: so many ids of candidates (8 bytes each) are broadcast to find their texts; more are joined.
     """
 
     shingle: int = 5
     threshold: int = 80
-    k: int = 40
-    overlap: int = 20
-    extra: int = 4
+    k: int = 64
+    overlap: int = 15
+    extra: int = 3
     slack: float = 0.2
-    short: int = 100
     rounds: int = 3
+    near: int = 6
     block: int = 1_000
     broadcast_ids: int = 1_000_000
     seed: int = 23
@@ -78,7 +80,9 @@ def _sketches(docs: DataFrame, p: NearDup) -> DataFrame:
 
 
 def _whole_sets(docs: DataFrame, nodes: DataFrame, p: NearDup) -> DataFrame:
-    """node, members: the whole shingle sets of the documents named, as packed sorted values."""
+    """node, members: the whole shingle sets of the documents named, as packed sorted values (a table)."""
+    if nodes.count() <= p.broadcast_ids:
+        nodes = F.broadcast(nodes)
     schema = pa.schema([("node", pa.int64()), ("members", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,27 +91,22 @@ def _whole_sets(docs: DataFrame, nodes: DataFrame, p: NearDup) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], schema=schema)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
-    return rows.join(nodes, "node", "left_semi").mapInArrow(run, "node long, members binary")
+    return durable(rows.join(nodes, "node", "left_semi").mapInArrow(run, "node long, members binary"), "neardup-sets")
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, p: NearDup) -> DataFrame:
+def _verified(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, p: NearDup) -> DataFrame:
     """The pairs (a, b) that meet the threshold: first by the estimate from union sketches, then on whole sets."""
-    left = classes.select(F.col("node").alias("a"), F.col("sketch").alias("x"))
-    right = classes.select(F.col("node").alias("b"), F.col("sketch").alias("y"))
     union = F.slice(F.sort_array(F.array_union("x", "y")), 1, p.k)
     estimate = F.size(F.array_intersect(F.array_intersect("x", "y"), "u")) / F.size("u")
     likely = (
-        pairs.join(left, "a")
-        .join(right, "b")
+        pairs.join(sketches.toDF("a", "x"), "a")
+        .join(sketches.toDF("b", "y"), "b")
         .select("a", "b", "x", "y", union.alias("u"))
         .where(estimate >= p.threshold / 100 - p.slack)
         .select("a", "b")
     )
     likely = durable(likely, "neardup-likely")
-    nodes = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    if nodes.count() <= p.broadcast_ids:
-        nodes = F.broadcast(nodes)
-    sets = durable(_whole_sets(docs, nodes, p), "neardup-sets")
+    sets = _whole_sets(docs, likely.select(F.explode(F.array("a", "b")).alias("node")).distinct(), p)
     threshold = p.threshold
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -120,60 +119,87 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, p: NearDup)
                 keep.append(100 * both >= threshold * (len(x) + len(y) - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_())).cast(schema)
 
+    return likely.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def _prefixes(classes: DataFrame, p: NearDup) -> DataFrame:
+    """node, n, need, score, held: of each class the rarest of its lists, commonest last, as (length, list).
+
+    Two classes with ``o`` lists in common share ``1 + extra`` of their rarest ``size - o + 1 + extra`` ones (lists of
+    one member are the rarest and are not stored). need: lists in common, in prefixes, that a link needs. Classes with fewer lists
+    than that are done and have no row. score: members of all lists together; of edited copies the one nearest to the others has most.
+    """
+    steps = F.arrays_zip(F.slice("sketch", F.lit(1), F.size("sketch") - 1).alias("v"), F.slice("sketch", F.lit(2), F.size("sketch") - 1).alias("w"))
+    postings = classes.where("size(sketch) > 1").select("node", "n", F.explode(steps).alias("at")).select("node", "n", F.xxhash64("at.v", "at.w").alias("v"))
+    frequent = postings.groupBy("v").agg(F.count("*").alias("c")).where("c > 1")
+    least = F.least(F.lit(p.overlap), F.expr(f"({2 * p.threshold - 100} * n + 99) div 100 - 1"))
     return (
-        likely.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+        postings.join(frequent, "v")
+        .groupBy("node", "n")
+        .agg(F.sort_array(F.collect_list(F.struct("c", "v"))).alias("held"), F.sum("c").alias("score"))
+        .withColumn("own", F.least(F.size("held"), F.size("held") - least + 1 + p.extra))
+        .withColumn("need", F.greatest(F.lit(1), F.least(least, F.lit(1 + p.extra))))
+        .where("own >= need")
+        .select("node", "n", "need", "score", F.slice("held", F.lit(1), F.col("own").cast("int")).alias("held"))
     )
 
 
-def _long_pairs(rooted: DataFrame, p: NearDup) -> DataFrame:
-    """All pairs (a, b) of different components that share ``need`` values of long lists in their prefixes.
+def _across(state: DataFrame, p: NearDup) -> DataFrame:
+    """All pairs (a, b) of different components and references that have ``need`` lists of their prefixes in common.
 
-    Lists within one component have no such pair and go. Of what is left a class looks up only its rarest values:
-    two classes with ``need`` common ones share one among these, and are paired at the rarest they share. The count
-    is taken inside the join, which deals a list in blocks of members, each against the whole list.
+    Lists within one component or one reference have no such pair and go. Of what is left a class looks up only its
+    rarest: two classes with ``need`` common ones share one among these.
     """
-    lists = rooted.where((F.col("c") > p.short) & (F.col("common") >= F.col("need")))
-    mixed = lists.groupBy("v").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("v")
-    lists = lists.join(mixed, "v")
-    values = (
-        lists.groupBy("node", "root", "n", "band", "need")
+    rows = state.select("node", "root", "ref", "n", "need", F.explode("held").alias("at")).select("node", "root", "ref", "n", "need", "at.c", "at.v")
+    mixed = rows.groupBy("v").agg(*[f("root").alias(f"{x}0") for x, f in (("a", F.min), ("b", F.max))], *[f("ref").alias(f"{x}1") for x, f in (("a", F.min), ("b", F.max))])
+    looked = (
+        rows.join(mixed.where("a0 < b0 and a1 < b1").select("v"), "v")
+        .groupBy("node", "root", "ref", "n", "need")
         .agg(F.sort_array(F.collect_list(F.struct("c", "v"))).alias("held"))
         .where("size(held) >= need")
-        .select("node", "root", "n", "need", F.col("held.v").alias("held"), F.posexplode("held").alias("pos", "at"))
-        .where("pos <= size(held) - need")
-        .select("node", "root", "n", "need", "held", F.col("at.v").alias("v"))
+        .select("node", "root", "ref", "n", "need", F.col("held.v").alias("held"), F.explode(F.slice("held.v", F.lit(1), F.expr("size(held) - need + 1"))).alias("v"))
     )
-    looked = durable(values, "neardup-long")
-    sizes = looked.groupBy("v").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("m")).where("r0 < r1")
-    looked = looked.join(sizes.select("v", F.ceil(F.col("m") / p.block).cast("int").alias("blocks")), "v")
-    one = looked.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    every = looked.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    near = f"100 * least(s.n, t.n) >= {p.threshold} * greatest(s.n, t.n)"
-    both = "array_intersect(s.held, t.held)"
-    met = f"s.v = t.v and s.block = t.block and s.root < t.root and {near} and size({both}) >= greatest(s.need, t.need) and {both}[0] = s.v"
-    return one.alias("s").join(every.alias("t"), F.expr(met)).select(F.col("s.node").alias("a"), F.col("t.node").alias("b")).distinct()
+    return met(looked, "s.ref <> t.ref", "size(both) >= greatest(s.need, t.need)", p.threshold, p.block, "neardup-across")
+
+
+def _within(state: DataFrame, docs: DataFrame, p: NearDup) -> DataFrame:
+    """All links (a, b) between different components among the classes of one reference; see ``links_within``."""
+    groups = state.groupBy("ref").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("ref")
+    rows = durable(state.select("node", "root", "n", "ref").join(groups, "ref"), "neardup-groups")
+    sets = _whole_sets(docs, rows.select("node").union(rows.select("ref")).distinct(), p)
+    rows = rows.join(sets.toDF("node", "x"), "node").join(sets.toDF("ref", "y"), "ref").select("node", "root", "n", "ref", "x", "y")
+    kinds = [("node", pa.int64()), ("root", pa.int64()), ("n", pa.int64()), ("ref", pa.int64()), ("m", pa.int64()), ("d", pa.list_(pa.int64()))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = [[np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(i)] for i in (4, 5)]
+            differ = [np.setxor1d(x, y, assume_unique=True) for x, y in zip(*sides, strict=True)]
+            columns = [*batch.columns[:4], pa.array([len(y) for y in sides[1]], pa.int64()), pa.array(differ, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, schema=pa.schema(kinds))
+
+    found = durable(rows.mapInArrow(run, "node long, root long, n long, ref long, m long, d array<long>"), "neardup-differences")
+    return links_within(found, p.threshold, p.block, "neardup-within")
 
 
 def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable), kept (doc_id = component_id), a row per document.
 
-    Documents with equal sets form one class, whose node is its smallest doc_id; copies cost no comparison. A class
-    stands in two overlapping bands of set size, as only sets within the threshold's ratio of sizes can be linked;
-    an inverted list belongs to a value and a band. Of each sketch, values ordered rarest first, only a prefix is looked
-    up: two sketches that share ``overlap`` values share ``1 + extra`` in their prefixes, so no link is lost with
-    the common values left out, and a class most of whose values are its own is done.
+    Documents with equal sets form one class, whose node is its smallest doc_id; copies cost no comparison. Of a class's
+    inverted lists, ordered rarest first, only a prefix is looked up, see ``_prefixes``.
 
-    Lists are compared in rounds that are linear in their lengths: every member against the most central one (whose
-    values are the commonest: of the edited copies of one text that is the text itself, or the copy nearest to it) and
-    another. Classes linked so are contracted, and long lists that still hold several components take other members in
-    further rounds; of a class's lists its commonest few stand for all then. This only contracts. All pairs across components
-    are compared then: in short lists by counting shared values, which finds every pair that shares one of those, and in
-    long ones by ``_long_pairs``, which finds the pairs that share values of long lists alone.
+    Lists are compared in rounds that are linear in their lengths: every member against the most central one (that with the
+    commonest lists: of the edited copies of one text that is the text itself, or the copy nearest to it) and another. Classes
+    linked so are contracted, and lists that still hold several components take other members in further rounds; of a
+    class's lists its commonest few stand for all then. This only contracts. All pairs that are left between different
+    components are compared then: classes that were first held against the same member (their reference) by what they
+    differ from it, ``_within``, and all others by common lists, ``_across``.
 
     Defined cases: null texts and texts without words have an empty set, are linked with nothing and kept. Rows
     without doc_id are linked with nothing, have a null component and are kept. Rows that repeat a doc_id count as one
-    document. Extra columns are ignored.
+    document. Extra columns are ignored; an empty table gives an empty result; a text of any length is one set.
     """
+    if not 70 <= p.threshold <= 100:
+        raise ValueError("the threshold must be from 70 to 100")
     feats = durable(_sketches(docs, p), "neardup-sketches")
     classes = (
         feats.where("doc_id is not null and n > 0")
@@ -181,72 +207,41 @@ def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
         .agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     )
     classes = durable(classes, "neardup-classes")
-
-    band = F.floor(F.log("n") / F.log(F.lit(101 / p.threshold)))
-    postings = (
-        classes.select("node", "n", "sketch", F.explode(F.array(band, band + 1)).alias("band"))
-        .select("node", "n", "band", F.explode("sketch").alias("v"))
-        .select("node", "n", "band", F.xxhash64("v", "band").alias("v"))
-    )
-    frequent = postings.groupBy("v").agg(F.count("*").alias("c")).where("c > 1")
-    size, least = F.least("n", F.lit(p.k)), F.least(F.lit(p.overlap), F.expr(f"({p.threshold} * n + 99) div 100"))
-    by_node = Window.partitionBy("node", "n", "band")
-    prefix = (
-        postings.join(frequent, "v")
-        .withColumn("rank", F.row_number().over(by_node.orderBy("c", "v")))
-        .withColumn("shared", F.count("*").over(by_node))
-        .withColumn("score", F.sum("c").over(by_node))
-        .where(size - F.col("shared") + F.col("rank") <= size - least + 1 + p.extra)
-        .withColumn("common", F.count_if(F.col("c") > p.short).over(by_node))
-        .withColumn("own", F.count("*").over(by_node))
-        .withColumn("from_top", F.row_number().over(by_node.orderBy(F.desc("c"), "v")))
-        .select("v", "node", "n", "band", "c", "score", "common", "from_top", F.least(least, F.lit(1 + p.extra)).alias("need"), "own")
-        .where("own >= need")
-        .drop("own")
-    )
-    prefix = durable(prefix, "neardup-prefixes")
+    prefix = durable(_prefixes(classes, p), "neardup-prefixes")
+    sketches = classes.select("node", "sketch")
 
     masks = random.Random(p.seed)
-    lists, found = prefix.withColumn("root", F.col("node")), None
+    state, found = prefix.withColumn("root", F.col("node")), None
     for _ in range(p.rounds):
+        held = F.col("held") if found is None else F.slice("held", -F.least(F.lit(4), F.size("held")), 4)
+        lists = state.select("node", "root", "need", "score", F.explode(held).alias("at")).select("node", "root", "need", "score", "at.v")
         other = F.lit(masks.getrandbits(63))
         pivots = lists.groupBy("v").agg(
-            F.max(F.struct("score", "node")).alias("top"),
-            F.min(F.col("node").bitwiseXOR(other)).bitwiseXOR(other).alias("other"),
+            F.max(F.struct("score", "node", "root")).alias("top"),
+            F.min(F.struct(F.col("node").bitwiseXOR(other).alias("x"), "node", "root")).alias("other"),
             F.min("root").alias("r0"),
             F.max("root").alias("r1"),
-        ).where("r0 < r1").select("v", F.explode(F.array_distinct(F.array("top.node", "other"))).alias("b"))
-        pairs = lists.join(pivots, "v").where("node <> b").groupBy("node", "b").agg(F.count("*").alias("c"), F.max("need").alias("need"), F.first("root").alias("root"))
+        ).where("r0 < r1").select("v", F.explode(F.array("top", F.struct(F.lit(0).alias("score"), "other.node", "other.root"))).alias("at"))
+        pairs = lists.join(pivots.select("v", F.col("at.node").alias("b"), F.col("at.root").alias("r")), "v").where("root <> r")
+        pairs = pairs.groupBy("node", "b").agg(F.count_distinct("v").alias("c"), F.max("need").alias("need"))
         if found is None:
+            pairs = durable(pairs, "neardup-met")
+            refs = durable(references(pairs.where(F.col("c") >= p.near)), "neardup-references")
             pairs = pairs.where("c >= need")
-        else:
-            of_b = found.select(F.col("node").alias("b"), F.col("root").alias("r"))
-            pairs = pairs.join(of_b, "b", "left").where(F.col("root") != F.coalesce("r", "b"))
         pairs = pairs.select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
-        links = durable(_verified(pairs, classes, docs, p), "neardup-links")
+        links = durable(_verified(pairs, sketches, docs, p), "neardup-links")
+        if links.isEmpty():
+            break
         if found is not None:
-            if links.isEmpty():
-                break
             links = links.unionByName(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
-        found = durable(connected_components(links, "neardup-components"), "neardup-roots")
-        rooted = prefix.join(found.withColumnRenamed("root", "r"), "node", "left").withColumn("root", F.coalesce("r", "node")).drop("r")
-        rooted = durable(rooted, "neardup-rooted")
-        lists = rooted.where((F.col("c") > p.short) & (F.col("from_top") <= 4))
-
-    near = f"100 * least(s.n, t.n) >= {p.threshold} * greatest(s.n, t.n)"
-    few = rooted.where(F.col("c") <= p.short)
-    pairs = (
-        few.alias("s")
-        .join(few.alias("t"), F.expr(f"s.v = t.v and s.root < t.root and {near}"))
-        .groupBy(F.col("s.node").alias("a"), F.col("t.node").alias("b"))
-        .agg(F.count("*").alias("c"), F.max(F.least("s.need", "t.need") - F.least("s.common", "t.common")).alias("need"))
-        .where("c >= need")
-        .select("a", "b")
-    )
-    pairs = pairs.unionByName(_long_pairs(rooted, p)).distinct()
-    more = durable(_verified(pairs, classes, docs, p), "neardup-links")
-    tree = found.select(F.col("node").alias("a"), F.col("root").alias("b"))
-    final = durable(connected_components(tree.unionByName(more), "neardup-components"), "neardup-roots")
+        found = connected_components(links, "neardup-components")
+        state = prefix.join(found.withColumnRenamed("root", "r"), "node", "left").withColumn("root", F.coalesce("r", "node")).drop("r")
+
+    state = state.join(refs, "node", "left").withColumn("ref", F.coalesce("ref", "node"))
+    links = _verified(_across(state, p), sketches, docs, p).unionByName(_within(state, docs, p))
+    if found is not None:
+        links = links.unionByName(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    final = connected_components(links, "neardup-components")
 
     named = classes.select("fp", "node").join(final, "node", "left").select("fp", F.coalesce("root", "node").alias("root"))
     known = F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("doc_id"))

@@ -2,10 +2,11 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from corpora import corpus, documents, edited, empty, words
 
-from gridstone.llm import line_dedup, near_dup
+from gridstone.llm import differences, line_dedup, near_dup
 from gridstone.llm.components import connected_components
 
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -60,6 +61,39 @@ def test_near_duplicates_large_family_without_its_original(spark, block):
     assert {r["doc_id"]: r["component_id"] for r in rows} == dict(enumerate(want))
 
 
+@pytest.mark.parametrize("broadcast_ids", [1_000_000, 0])
+def test_near_duplicates_of_shared_blocks(spark, broadcast_ids, monkeypatch):
+    """Ten of thirty blocks make a document: lists are long, and any two documents share some text."""
+    rng = random.Random(5)
+    blocks = [words(rng, 20, 5000) for _ in range(30)]
+    texts = []
+    for _ in range(400):
+        base = "\n".join(rng.sample(blocks, 10))
+        texts += [base, edited(rng, base, 8)]
+    sets = [shingle_set(t, 5) for t in texts]
+    want = roots(800, [(i, j) for i in range(800) for j in range(i) if similar(sets[i], sets[j])])
+    monkeypatch.setattr(differences, "BROADCAST_LISTS", broadcast_ids)
+    p = near_dup.NearDup(broadcast_ids=broadcast_ids)
+    rows = near_dup.near_duplicates(documents(spark, texts), p).collect()
+    assert {r["doc_id"]: r["component_id"] for r in rows} == dict(enumerate(want))
+
+
+def test_near_duplicates_of_small_sets(spark):
+    """Sets of 1 to 80 shingles, each with copies that lack or have a few more: the bound on small sets is exact."""
+    rng = random.Random(6)
+    texts = []
+    for n in range(2, 82, 1):
+        base = [f"s{n}w{i}" for i in range(n)]
+        texts.append(" ".join(base))
+        for _ in range(3):
+            part = [w for w in base if rng.random() > 0.05]
+            texts.append(" ".join([*part, f"s{n}x{rng.randrange(9)}"][: n + rng.randrange(2)]))
+    sets = [shingle_set(t, 1) for t in texts]
+    want = roots(len(texts), [(i, j) for i in range(len(texts)) for j in range(i) if similar(sets[i], sets[j])])
+    rows = near_dup.near_duplicates(documents(spark, texts), near_dup.NearDup(shingle=1)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in rows} == dict(enumerate(want))
+
+
 def test_near_duplicates_awkward_rows(spark):
     assert near_dup.near_duplicates(empty(spark)).count() == 0
     df = spark.createDataFrame([(None, "a b c"), (7, "a b c"), (7, "a b c"), (3, "A b  c"), (None, None)], "doc_id long, text string")
@@ -81,8 +115,8 @@ def test_components(spark, shape):
 
 
 def shingles8(line):
-    raw = line.encode()
-    return {raw[i : i + 8] for i in range(max(1, len(raw) - 7))}
+    raw = line.encode("utf-16be")
+    return {raw[i : i + 16] for i in range(0, max(1, len(raw) - 15), 2)}
 
 
 def model_drops(texts):
@@ -132,6 +166,31 @@ def test_large_family_of_lines_without_its_original(spark, block):
     assert got == want
 
 
+@pytest.mark.parametrize("union", [10, 25, 100, 1000])
+def test_recall_of_signatures_at_the_threshold(union):
+    """Pairs with similarity 0.8 exactly share a band and agree on enough minima in 99 of 100 cases."""
+    p = line_dedup.LineDedup()
+    words, minima = line_dedup.family(p)
+    rng, trials, found = np.random.default_rng(union), 2000, 0
+    common, own = union * 4 // 5, union // 10
+    for _ in range(trials):
+        h = rng.integers(-(1 << 63), 1 << 63, (len(words), union))  # words of a random hash are random
+        values = np.stack([((h[w] << s) >> 32) ^ m for w, s, m in minima])
+        x, y = values[:, : common + own].min(axis=1), np.r_["1", values[:, :common], values[:, common + own :]].min(axis=1)
+        same = (x == y).reshape(p.bands, p.rows)
+        found += same.all(axis=1).any() and same.sum() >= line_dedup._bound(p)
+    assert found >= 0.99 * trials, found / trials
+
+
+def test_lines_of_repeated_rows_and_clashing_columns(spark):
+    rows = [(None, "same line", 1, "a"), (3, "same line\nsame line\nown", 2, "b"), (3, "same line\nsame line\nown", 3, "c"), (5, "same line", 4, "d"), (7, "", 5, "e"), (9, None, 6, "f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _line0 int, id string")
+    out = line_dedup.dedup_lines(docs)
+    assert out.columns == docs.columns
+    assert {r["_line0"]: r["text"] for r in out.collect()} == {1: "same line", 2: "same line\nown", 3: "same line\nown", 4: "", 5: "", 6: None}
+    assert {r["_line0"] for r in line_dedup.dedup_lines(docs, drop_emptied=True).collect()} == {1, 2, 3, 5, 6}
+
+
 def test_lines_in_texts(spark):
     docs = documents(spark, ["a line that stays here\nfoo", "a line that stays here\nbar\n\nfoo", None])
     out = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs).collect()}
