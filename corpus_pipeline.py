@@ -1,4 +1,9 @@
-"""From raw documents to token digests in five stages, each of which works on all that its predecessor kept."""
+"""From raw documents to token digests in five stages, each of which works on all that its predecessor kept.
+
+Defined cases of every stage: null, empty and blank texts and rows without doc_id are kept; exact repeats of a row go only where
+a stage drops repeats (line dedup counts rows of one doc_id as one document, near-dedup drops all rows of a doc_id whose
+group has a smaller one); texts of any length are taken whole; extra columns stay; an empty table stays empty.
+"""
 
 from __future__ import annotations
 
@@ -17,8 +22,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of equal or nearly equal lines the first stays; every document stays."""
-    return line_dedup.dedup_lines(docs)
+    """Of each class of equal or nearly equal lines the first stays; documents that had lines and lose them all go."""
+    return line_dedup.dedup_lines(docs, drop_emptied=True)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
