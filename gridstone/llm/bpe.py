@@ -129,7 +129,7 @@ class Bpe:
 
     tokenizer: str
     words: int = 1 << 15
-    memo: int = 300_000
+    memo: int = 600_000
 
 
 def word_counts(docs: DataFrame) -> DataFrame:

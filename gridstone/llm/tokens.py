@@ -14,8 +14,10 @@ import pyarrow as pa
 
 from gridstone.llm import common
 
-# The published pre-token pattern of byte-level BPE, for ASCII.
-ASCII_PRE_TOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
+# The published pre-token pattern of byte-level BPE, for ASCII and the letters of U+00C0 to U+024F.
+_LETTERS = r"A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+LATIN_PRE_TOKEN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^\t-\r {_LETTERS}0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
+_LATIN = re.compile(rf"[\x00-\x7f{_LETTERS}]*")
 # UTF-8 of the white space beyond ASCII (Unicode's White_Space).
 WIDE_WHITE = [c.encode() for c in "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"]
 _LEADS = np.zeros(256, bool)
@@ -66,8 +68,8 @@ class Vocabulary:
         self._special = re.compile("|".join(map(re.escape, longest_first))) if longest_first else None
 
     def _split(self, text: str) -> list[str]:
-        if text.isascii():
-            return ASCII_PRE_TOKEN.findall(text)
+        if text.isascii() or _LATIN.fullmatch(text):
+            return LATIN_PRE_TOKEN.findall(text)
         from tokenizers.pre_tokenizers import ByteLevel  # its Unicode tables decide what a letter or a number is
 
         pre = per_process("pre-tokenizer", lambda: ByteLevel(add_prefix_space=False, use_regex=True))
