@@ -40,10 +40,10 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
 
 
 def _placed(df: DataFrame, names: list[str], **known) -> LatticeFrame:
-    """Number unique coordinates by batch, x, y, z."""
+    """Number unique coordinates of -128 to 127 by batch, x, y, z; eight batches of them are 2,048 ranges of ids."""
     order = F.col("batch").cast("long")
     for c in "xyz":
-        order = order * 4096 + F.col(c) + 1024
+        order = order * 256 + F.col(c) + 128
     rows = numbered(df.withColumn("_order", order), "_order", "row_id")
     return LatticeFrame(rows.select("row_id", *COORDS, *names), len(names), unique=True, **known)
 
@@ -351,6 +351,23 @@ def kernel_view(spark, d):
     return ops.kernel_relation(lattice(spark, d)).kernel_view()
 
 
+@query(f"WITH {LATTICE}, {DOWN}, {_edges('down', 3, 2, 1)} SELECT row_id out_row, e.kernel_id, e.in_row FROM down LEFT JOIN edges e ON e.out_row=row_id")
+def out_view(spark, d):
+    view = ops.build_kernel_relation(lattice(spark, d).coords, 3, 2, 1).out_view()
+    return view.select("out_row", F.explode_outer("edges").alias("e")).select("out_row", "e.kernel_id", "e.in_row")
+
+
+@query(f"WITH {LATTICE}, {DOWN}, {_edges('down', 3, 2, 1)} SELECT in_row, out_row, kernel_id FROM edges")
+def in_view(spark, d):
+    view = ops.build_kernel_relation(lattice(spark, d).coords, 3, 2, 1).in_view()
+    return view.select("in_row", F.explode("edges").alias("e")).select("in_row", "e.out_row", "e.kernel_id")
+
+
+@query(f"WITH {LATTICE}, {DOWN}, {_edges('down', 2, 2)} SELECT {EDGE} FROM edges")
+def direct_view(spark, d):
+    return ops.build_kernel_relation(lattice(spark, d).coords, 2, 2).direct_view()
+
+
 # queries every 20th row; sources: all rows of the batch
 KNN = """asked AS (SELECT row_id query_row, batch, x qx, y qy, z qz FROM vox WHERE row_id%20=0),
 near AS (SELECT query_row, v.row_id source_row, (qx-x)*(qx-x)+(qy-y)*(qy-y)+(qz-z)*(qz-z) d FROM asked JOIN vox v USING (batch)),
@@ -417,7 +434,9 @@ def subm_conv3d_wide(spark, d):
     return ops.subm_conv3d(lattice(spark, d), weights(27, 2, 40)).df
 
 
-@query(f"WITH {LATTICE}, {SENT}, edges AS (SELECT in_row, place out_row, kernel_id FROM sent), met AS (SELECT place row_id, batch,x,y,z FROM sent), {_conv('met')}")
+# every place has one edge: nothing to sum
+@query(f"""WITH {LATTICE}, {_off(2)} SELECT row_id*8+k row_id, batch, x*2+dx x, y*2+dy y, z*2+dz z,
+ {', '.join(f"CAST(f0*{_w('k', 0, b)}+f1*{_w('k', 1, b)}+({BIAS[b]}) AS DOUBLE) f{b}" for b in range(2))} FROM vox CROSS JOIN off""")
 def conv_transpose3d(spark, d):
     return ops.conv_transpose3d(_coarse(lattice(spark, d)), weights(8), BIAS).df
 
@@ -608,11 +627,11 @@ def topk_rows(spark, d):
     return ops.prune(x, ops.topk_rows(x, [5 * b for b in range(8)])).df
 
 
-@query(f"""WITH {LATTICE}, one AS (SELECT row_number() OVER (ORDER BY row_id)-1 o, * FROM vox WHERE batch=1), two AS (SELECT row_number() OVER (ORDER BY row_id)-1 o, * FROM vox WHERE batch=2)
-SELECT o row_id, 0 batch, x,y,z,f0,f1 FROM one UNION ALL SELECT o+(SELECT count(*) FROM one), 1, x,y,z,f0,f1 FROM two""")
+@query(f"WITH {LATTICE} SELECT row_number() OVER (ORDER BY batch DESC,row_id)-1 row_id, CAST(7-batch AS INT) batch, x,y,z,f0,f1 FROM vox")
 def sparse_collate(spark, d):
+    """All batches (line numbers 1 to 7), the last one first."""
     x = lattice(spark, d)
-    parts = [numbered(x.df.where(F.col("batch") == b).withColumnRenamed("row_id", "_o"), "_o", "row_id").select("row_id", "x", "y", "z", "f0", "f1") for b in (1, 2)]
+    parts = [numbered(x.df.where(F.col("batch") == b).withColumnRenamed("row_id", "_o"), "_o", "row_id").select("row_id", "x", "y", "z", "f0", "f1") for b in range(7, 0, -1)]
     return ops.sparse_collate(parts).df
 
 
@@ -690,6 +709,16 @@ def quantized_linear(spark, d):
     return ops.linear(wide, quantize_weight(PACKED, 32, 4)).df
 
 
+@query(f"""WITH {LATTICE}, {_edges('vox')}, conv AS (SELECT out_row, {', '.join(f"sum(v.f0*((e.kernel_id+{3 * b})%16)+v.f1*((e.kernel_id+{3 * b + 5})%16)) c{b}" for b in range(4))} FROM edges e JOIN vox v ON v.row_id=in_row GROUP BY 1)
+SELECT {COLS}, {', '.join(f"CAST(coalesce(c{b},0) AS DOUBLE) f{b}" for b in range(4))} FROM vox LEFT JOIN conv ON out_row=row_id""")
+def quantized_conv3d(spark, d):
+    """Weights 0 .. 15 in packed 4-bit words, in groups of 32 input channels of which 30 are zero."""
+    x = lattice(spark, d)
+    wide = x.with_features([F.col("f0"), F.col("f1"), *[F.lit(0.0)] * 30])
+    w = np.array([[[(k + 5 * a + 3 * b) % 16 for b in range(4)] for a in range(32)] for k in range(27)], np.float32)
+    return ops.subm_conv3d(wide, quantize_weight(w, 32, 4)).df
+
+
 def _streams(spark: SparkSession, d: str) -> DataFrame:
     """Per batch a stream of row symbols 0 .. 3 with probabilities that depend on the row."""
     x = lattice(spark, d)

@@ -14,16 +14,33 @@ from gridstone.geometry import COORDS, Triple, triple
 RANGE_BITS = 16
 
 
-def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
+def starts_before(counts: DataFrame, key: str, levels: int = 1) -> DataFrame:
+    """``key`` and ``_at``: the sum of ``_n`` over all smaller keys; ``counts`` has one row (key, _n) for each key.
+
+    A level sums keys that agree but for their last 16 bits on their own and hands their totals to the next; the last one
+    sums what is left in one task. Keys of 48 bits in three levels leave no task more than 65,536 rows.
+    """
+    if levels == 1:
+        before = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+        return counts.select(key, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_at"))
+    above = f"_above{levels}"
+    rows = counts.withColumn(above, F.shiftright(key, RANGE_BITS))
+    totals = starts_before(rows.groupBy(above).agg(F.sum("_n").alias("_n")), above, levels - 1)
+    before = Window.partitionBy(above).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_in", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    return rows.join(totals, above).select(key, (F.col("_at") + F.col("_in")).alias("_at"))
+
+
+def numbered(df: DataFrame, order: str, name: str, sparse: bool = False) -> DataFrame:
     """Add a gapless number from 0 in the order of the unique LONG column ``order``.
 
-    Ids are cut into ranges of 65,536; each is numbered on its own, and only totals of ranges are summed in order, so
-    no task sees all rows.
+    Ids are cut into ranges of 65,536; each is numbered on its own, and only totals of ranges are summed in order. Ids
+    that lie far apart (``sparse``: codes, packed coordinates) fill nearly as many ranges as there are rows, so their totals
+    are summed in levels, see ``starts_before``; no task sees all rows.
     """
     part = F.shiftright(F.col(order), RANGE_BITS).alias("_part")
     rows = df.withColumn("_part", F.shiftright(F.col(order), RANGE_BITS))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = df.groupBy(part).agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_at"))
+    starts = starts_before(df.groupBy(part).agg(F.count("*").alias("_n")), "_part", 3 if sparse else 1)
     within = F.row_number().over(Window.partitionBy("_part").orderBy(order))
     return rows.join(starts, "_part").withColumn(name, (F.col("_at") + within - 1).cast("long")).drop("_part", "_at")
 

@@ -58,10 +58,15 @@ class KernelSpec:
         return plain and self.size == self.stride and all(s % 2 == 0 or s == 1 for s in self.size)
 
     @property
-    def spreads(self) -> bool:
-        """Transposed outputs of different inputs cannot meet: the stride exceeds the range of offsets on every axis."""
+    def exclusive(self) -> bool:
+        """Each input of a forward relation feeds one output at most: the stride exceeds the range of offsets on every axis."""
         return all(s > (k - 1) * d for s, k, d in zip(self.stride, self.size, self.dilation, strict=True))
 
+    @property
+    def spreads(self) -> bool:
+        """Transposed outputs of different inputs cannot meet; the same test."""
+        return self.exclusive
+
 
 def kernel_offsets(size=3, dilation=1) -> list[Triple]:
     """Offsets by kernel id, z fastest: odd sizes centred on 0, even ones from 0."""

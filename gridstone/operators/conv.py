@@ -80,8 +80,8 @@ def convolve(x: LatticeFrame, relation: R.Relation, w: np.ndarray, bias=None) ->
     """Every output row of the relation, also those that no edge reaches (0 plus bias)."""
     m = w.shape[2]
     b = _bias(bias, m)
-    if relation.kind == "generative" or relation.kind == "transposed" and not relation.unique_out:
-        # one edge an output: nothing to sum
+    one_edge = relation.kind == "generative" or relation.kind == "transposed" and not relation.unique_out
+    if one_edge and w.shape[1] * m <= WIDE:  # nothing to sum
         table = weight_table(x.df, w)
         one = relation.edges.join(x.feats.withColumnRenamed("row_id", "in_row"), "in_row").join(table, "kernel_id")
         sums = one.select("out_row", *[sum(F.col(f"f{a}") * F.col(f"w{a}_{c}") for a in range(w.shape[1])).alias(f"c{c}") for c in range(m)])

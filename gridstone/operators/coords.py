@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridstone.frame import first_seen, lookup_side, numbered
+from gridstone.frame import RANGE_BITS, first_seen, lookup_side, numbered, starts_before
 from gridstone.geometry import COORDS, Triple, child_index, floor_div, morton_code, triple
 
 
@@ -50,16 +50,13 @@ def morton_codes(coords: DataFrame) -> DataFrame:
 def morton_order(coords: DataFrame) -> DataFrame:
     """row_id and its position in Morton order (ties by row).
 
-    Codes are ranked in ranges between quantiles; only totals of ranges are summed in order.
+    Codes are ranked in ranges of 65,536; only totals of ranges are summed in order, in levels. Rows of one coordinate are
+    ranked in one task.
     """
-    codes = morton_codes(coords)
-    marks = codes.agg(F.percentile_approx("code", [i / 64 for i in range(1, 64)], 1000).alias("marks"))
-    part = F.size(F.filter("marks", lambda m: m < F.col("code")))
-    rows = codes.join(F.broadcast(marks)).select("row_id", "code", part.alias("part"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = rows.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("at"))
-    within = F.row_number().over(Window.partitionBy("part").orderBy("code", "row_id"))
-    return rows.join(F.broadcast(starts), "part").select("row_id", "code", (F.col("at") + within - 1).cast("long").alias("position"))
+    rows = morton_codes(coords).withColumn("_part", F.shiftright("code", RANGE_BITS))
+    starts = starts_before(rows.groupBy("_part").agg(F.count("*").alias("_n")), "_part", 3)
+    within = F.row_number().over(Window.partitionBy("_part").orderBy("code", "row_id"))
+    return rows.join(starts, "_part").select("row_id", "code", (F.col("_at") + within - 1).cast("long").alias("position"))
 
 
 def morton_sort_coords(coords: DataFrame) -> DataFrame:

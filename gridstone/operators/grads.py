@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from gridstone.frame import LatticeFrame
 from gridstone.operators.conv import multiply
-from gridstone.operators.pool import MODES
+from gridstone.operators.pool import MODES, pooled
 from gridstone.operators.relations import Relation
 
 
@@ -36,7 +36,7 @@ def conv_weight_grad(x: LatticeFrame, relation: Relation, cotangent: DataFrame)
 
 
 def pool_vjp(x: LatticeFrame, relation: Relation, mode: str, cotangent: DataFrame) -> DataFrame:
-    """sum: the cotangent of each output; avg: by its number of edges; max: split among the inputs that tie for it."""
+    """sum: the cotangent of each output; avg: by its number of edges; max: split among the inputs that tie for it (never NaN)."""
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
     grad = cotangent.select(F.col("row_id").alias("out_row"), *[F.col(c).alias(f"y_{c}") for c in x.names])
@@ -48,7 +48,7 @@ def pool_vjp(x: LatticeFrame, relation: Relation, mode: str, cotangent: DataFram
         rows = rows.join(degree, "out_row")
         shares = [F.sum(F.col(f"y_{c}") / F.col("_n")).alias(c) for c in x.names]
     else:
-        tops = rows.groupBy("out_row").agg(*[F.max(c).alias(f"m_{c}") for c in x.names])
+        tops = rows.groupBy("out_row").agg(*[pooled("max", c).alias(f"m_{c}") for c in x.names])
         rows = rows.join(tops, "out_row")
         ties = rows.groupBy("out_row").agg(*[F.count_if(F.col(c) == F.col(f"m_{c}")).alias(f"t_{c}") for c in x.names])
         rows = rows.join(ties, "out_row")
@@ -57,12 +57,13 @@ def pool_vjp(x: LatticeFrame, relation: Relation, mode: str, cotangent: DataFram
 
 
 def pool_jvp(x: LatticeFrame, relation: Relation, mode: str, tangent: DataFrame) -> DataFrame:
-    """Tangents of the outputs; max takes that of the first input that ties, by input row, then kernel id."""
+    """Tangents of the outputs; max takes that of the first input that ties, by input row, then kernel id; 0 where all are NaN."""
     t = tangent.select(F.col("row_id").alias("in_row"), *[F.col(c).alias(f"y_{c}") for c in x.names])
     rows = relation.edges.join(x.feats.withColumnRenamed("row_id", "in_row"), "in_row").join(t, "in_row")
     if mode == "max":
         order = F.struct(-F.col("in_row"), -F.col("kernel_id"))
-        sums = [F.max_by(f"y_{c}", F.struct(F.col(c).alias("v"), order.alias("o"))).alias(c) for c in x.names]
+        some = lambda c, v: F.when(~F.isnan(c), F.col(v))
+        sums = [F.max_by(some(c, f"y_{c}"), F.struct(some(c, c).alias("v"), order.alias("o"))).alias(c) for c in x.names]
     else:
         sums = [(F.sum if mode == "sum" else F.avg)(f"y_{c}").alias(c) for c in x.names]
     out = rows.groupBy(F.col("out_row").alias("row_id")).agg(*sums)

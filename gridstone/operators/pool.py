@@ -12,7 +12,7 @@ from gridstone.operators import relations as R
 MODES = ("sum", "max", "avg")
 
 
-def _pooled(mode: str, column: str) -> Column:
+def pooled(mode: str, column: str) -> Column:
     """NaN never wins a maximum."""
     if mode == "max":
         return F.max(F.when(~F.isnan(column), F.col(column)))
@@ -26,7 +26,7 @@ def _empty(mode: str) -> Column:
 def pool_relation(x: LatticeFrame, relation: R.Relation, mode: str) -> DataFrame:
     """Every output row; one that no edge reaches has 0, or minus infinity for max."""
     rows = relation.edges.join(x.feats.withColumnRenamed("row_id", "in_row"), "in_row")
-    sums = rows.groupBy("out_row").agg(*[_pooled(mode, c).alias(c) for c in x.names]).withColumnRenamed("out_row", "row_id")
+    sums = rows.groupBy("out_row").agg(*[pooled(mode, c).alias(c) for c in x.names]).withColumnRenamed("out_row", "row_id")
     out = relation.out.join(sums, "row_id", "left")
     return out.select("row_id", *COORDS, *[F.coalesce(F.col(c).cast("double"), _empty(mode)).alias(c) for c in x.names])
 
@@ -47,7 +47,7 @@ def pool3d(x: LatticeFrame, mode: str = "sum", kernel_size=2, stride=2, padding=
             first = F.min_by(F.struct(*x.names), "row_id").alias("f")
             rows = rows.groupBy(*COORDS).agg(F.min("row_id").alias("row_id"), first).select("row_id", *COORDS, "f.*")
         cells = rows.select("row_id", "batch", *[floor_div(F.col(c), s).alias(c) for c, s in zip("xyz", spec.stride, strict=True)], *x.names)
-        sums = cells.groupBy(*COORDS).agg(F.min("row_id").alias("_first"), *[_pooled(mode, c).alias(c) for c in x.names])
+        sums = cells.groupBy(*COORDS).agg(F.min("row_id").alias("_first"), *[pooled(mode, c).alias(c) for c in x.names])
         filled = [F.coalesce(F.col(c).cast("double"), _empty(mode)).alias(c) for c in x.names]
         return x.renewed(numbered(sums, "_first", "row_id").select("row_id", *COORDS, *filled), stride=out_stride, unique=True)
     relation = R.kernel_relation(x, kernel_size, stride, padding, dilation, cache=cache)
@@ -71,7 +71,7 @@ def avg_pool3d(x: LatticeFrame, kernel_size=2, stride=2, padding=0, dilation=1,
 
 def _global(x: LatticeFrame, mode: str) -> DataFrame:
     """batch, f0, ...: empty batches (where the frame knows how many there are) give 0; for max they raise."""
-    sums = x.df.groupBy("batch").agg(*[_pooled(mode, c).cast("double").alias(c) for c in x.names])
+    sums = x.df.groupBy("batch").agg(*[pooled(mode, c).cast("double").alias(c) for c in x.names])
     if x.batches is None:
         return sums
     every = x.df.sparkSession.range(x.batches).select(F.col("id").cast("int").alias("batch"))

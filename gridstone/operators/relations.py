@@ -9,7 +9,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridstone.frame import LatticeFrame, first_seen, lookup_side
+from gridstone.frame import RANGE_BITS, LatticeFrame, first_seen, lookup_side, starts_before
 from gridstone.geometry import COORDS, KernelSpec, ball_offsets, floor_div, offset_column
 
 
@@ -38,6 +38,15 @@ class Relation:
         """Edges of each input row that has any."""
         return self._view("in_row", ["out_row", "kernel_id"], self.edges.select("in_row").distinct())
 
+    def direct_view(self) -> DataFrame:
+        """The one edge of each input row that has any: in_row, out_row, kernel_id; the kernel must be exclusive.
+
+        No aggregate is needed: an exclusive forward kernel meets each input once.
+        """
+        if self.kind not in ("forward", "target") or not self.spec.exclusive:
+            raise ValueError("inputs may have several edges")
+        return self.edges
+
     def kernel_view(self) -> DataFrame:
         """Number of edges of each kernel cell and where its group begins."""
         cells = self.edges.sparkSession.range(self.spec.volume).select(F.col("id").cast("int").alias("kernel_id"))
@@ -58,10 +67,15 @@ class Relation:
         if self.spec.volume > 32:
             raise ValueError("a kernel of at most 32 cells is needed")
         gemm = self.implicit_gemm().withColumn("mask", F.col("masks")[0])
-        counts = gemm.groupBy("mask").agg(F.count("*").alias("n"))
-        starts = counts.select("mask", (F.sum("n").over(Window.orderBy("mask")) - F.col("n")).alias("at"))
-        within = F.row_number().over(Window.partitionBy("mask").orderBy("out_row"))
-        placed = gemm.join(F.broadcast(starts), "mask").withColumn("place", F.col("at") + within - 1)
+        gemm = gemm.withColumn("part", F.shiftright("out_row", RANGE_BITS))
+        # a mask may be that of most rows, so its rows are numbered in ranges too
+        parts = gemm.groupBy("mask", "part").agg(F.count("*").alias("n"))
+        starts = starts_before(parts.groupBy("mask").agg(F.sum("n").alias("_n")), "mask", 2)
+        before = Window.partitionBy("mask").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        parts = parts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).join(starts, "mask")
+        parts = parts.select("mask", "part", (F.col("_at") + F.col("before")).alias("at"))
+        within = F.row_number().over(Window.partitionBy("mask", "part").orderBy("out_row"))
+        placed = gemm.join(parts, ["mask", "part"]).withColumn("place", F.col("at") + within - 1)
         return placed.select("out_row", "map", "mask", "place", F.floor(F.col("place") / tile).alias("tile"))
 
 

@@ -316,6 +316,14 @@ def build_graph_artifact(build: Callable[[GraphBuilder], None], dtype_policy: st
     return LatticeModel(builder.manifest(), builder.parameters)
 
 
+def save_lattice_graph(spark: SparkSession, path: str, build: Callable[[GraphBuilder], None], dtype_policy: str = "preserve") -> None:
+    save_model(spark, path, build_graph_artifact(build, dtype_policy))
+
+
+def save_lattice_module(spark: SparkSession, path: str, module: Any) -> None:
+    save_model(spark, path, build_module_artifact(module))
+
+
 def build_module_artifact(module: Any) -> LatticeModel:
     """A module as a model with input ``x`` and output ``y``."""
 

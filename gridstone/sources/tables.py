@@ -36,4 +36,4 @@ def lattice_from(rows: DataFrame, coords: dict[str, Column], features: list[Colu
     if not order:
         df = df.withColumn("_order", morton_code())
         known["unique"] = True
-    return LatticeFrame.of(numbered(df, "_order", "row_id").drop("_order"), **known)
+    return LatticeFrame.of(numbered(df, "_order", "row_id", sparse=not order).drop("_order"), **known)

@@ -6,6 +6,7 @@ from helpers import coords, feats, frame, line, table, xs
 from pyspark.sql import functions as F
 
 from gridstone import ops
+from gridstone.frame import numbered
 from gridstone.operators import grads
 from gridstone.operators.conv import kernel_weights
 from gridstone.geometry import KernelSpec
@@ -210,3 +211,37 @@ def test_frame(spark):
     with pytest.raises(ValueError):
         x.decomposed_features()
     assert coords(spark, []).count() == 0
+
+
+def test_sparse_ids_are_numbered_in_levels(spark):
+    ids = sorted({(i * 2654435761) ** 2 % (1 << 63) - (1 << 62) for i in range(500)} | set(range(-3, 3)) | {65535, 65536, 1 << 48, -(1 << 62)})
+    df = spark.createDataFrame([(i,) for i in reversed(ids)], "k long")
+    for sparse in (False, True):
+        got = table(numbered(df, "k", "n", sparse), "k", "n")
+        assert got == [(k, n) for n, k in enumerate(ids)]
+    assert numbered(df.where("k is null"), "k", "n", True).count() == 0
+
+
+def test_gradient_of_a_maximum_passes_nan_by(spark):
+    x = line(spark, 4, [[math.nan], [2.0], [math.nan], [math.nan]])
+    relation = ops.build_kernel_relation(x.coords, 2, 2)
+    one = relation.out.select("row_id", F.lit(1.0).alias("f0"))
+    assert table(grads.pool_vjp(x, relation, "max", one), "row_id", "f0") == [(0, 0.0), (1, 1.0), (2, 0.0), (3, 0.0)]
+    tangent = x.df.select("row_id", (F.col("row_id") + 5.0).alias("f0"))
+    assert table(grads.pool_jvp(x, relation, "max", tangent), "row_id", "f0") == [(0, 6.0), (1, 0.0)]
+
+
+def test_direct_view_needs_an_exclusive_kernel(spark):
+    x = line(spark, 4)
+    assert table(ops.build_kernel_relation(x.coords, 2, 3).direct_view(), "in_row", "out_row") == [(0, 0), (1, 0), (3, 1)]
+    with pytest.raises(ValueError):
+        ops.build_kernel_relation(x.coords, 3, 2).direct_view()
+
+
+def test_wide_generative_convolution_equals_narrow_ones(spark):
+    x = line(spark, 3, [[1.0, 2.0], [3.0, 4.0], [5.0, 6.0]])
+    w = np.arange(8 * 2 * 40).reshape(8, 2, 40) % 7 - 3
+    wide = table(ops.generative_conv_transpose3d(x.replace(stride=2), w).df, "row_id", "f0", "f39")
+    for c, at in ((0, 1), (39, 2)):
+        narrow = table(ops.generative_conv_transpose3d(x.replace(stride=2), w[:, :, [c]]).df, "row_id", "f0")
+        assert [(r[0], r[at]) for r in wide] == narrow
