@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridstone.llm.common import durable
+from gridstone.llm.common import discard, durable
 
 
 def _stars(links: DataFrame) -> bool:
@@ -34,9 +34,11 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
             both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         )
         large = durable(large, name)
+        discard(links)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         down = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         links = durable(down.unionByName(least.withColumnRenamed("m", "v")).distinct(), name)
+        discard(large)
     return links.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     )

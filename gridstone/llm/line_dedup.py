@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridstone.llm.common import durable
+from gridstone.llm.common import discard, durable
 from gridstone.llm.components import connected_components
 from gridstone.llm.differences import links_within, references
 
@@ -169,7 +169,7 @@ def _classes(lines: DataFrame, sig: DataFrame, p: LineDedup) -> DataFrame:
     buckets that still hold several classes another member is held against those of other classes, in so many
     ``rounds``. A round makes as many comparisons as buckets have members. This only contracts. All pairs of a bucket that
     are left between different classes are compared then: lines near the same member (their reference) by what they
-    differ from it, ``_within``, and all others by signatures first, ``_rest``.
+    differ from it, ``_within``, and all others by signatures first, ``_rest``. ``sig`` is deleted when it is no longer needed.
     """
     keys = [F.xxhash64(F.lit(b), *[F.col("minima")[b * p.rows + r] for r in range(p.rows)]) for b in range(p.bands)]
     bands = sig.select("id", F.explode(F.array(*keys)).alias("key"))
@@ -179,7 +179,8 @@ def _classes(lines: DataFrame, sig: DataFrame, p: LineDedup) -> DataFrame:
     if ids.count() <= p.broadcast_ids:
         ids = F.broadcast(ids)
     bodies = durable(lines.select("id", F.encode("line", "utf-16be").alias("body")).join(ids, "id", "left_semi").dropDuplicates(["id"]), "line-bodies")
-    sig = durable(sig.join(ids, "id", "left_semi").select("id", "minima"), "line-minima")
+    of_all, sig = sig, durable(sig.join(ids, "id", "left_semi").select("id", "minima"), "line-minima")
+    discard(of_all)
     masks = random.Random(p.seed + 1)
     found = None
     for _ in range(p.rounds):
@@ -201,11 +202,14 @@ def _classes(lines: DataFrame, sig: DataFrame, p: LineDedup) -> DataFrame:
         roots = connected_components(links, "line-components").withColumnRenamed("node", "id")
         found = durable(roots, "line-roots")
         named = members.select("id", "key").join(found, "id", "left")
-        members = durable(named.select("id", "key", F.coalesce("root", "id").alias("root")), "line-buckets")
+        before, members = members, durable(named.select("id", "key", F.coalesce("root", "id").alias("root")), "line-buckets")
+        discard(before)
     members = members.join(refs, "id", "left").withColumn("ref", F.coalesce("ref", "id"))
     state = members.select("id", "root", "ref").distinct()
     links = _similar(_rest(members, sig, p), bodies, p).unionByName(_within(state, bodies, p))
-    links = durable(links, "line-links").unionByName(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
+    links = durable(links, "line-links")
+    discard(members, bodies, sig)
+    links = links.unionByName(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     return durable(connected_components(links, "line-components").withColumnRenamed("node", "id"), "line-roots")
 
 
@@ -219,8 +223,8 @@ def line_drops(docs: DataFrame, p: LineDedup = LineDedup()) -> DataFrame:
     """
     lines = _lines(docs, p)
     sig = durable(_signatures(lines, p), "line-signatures")
+    copies = durable(sig.where("copies > 1").select("id"), "line-copies")
     classes = _classes(lines, sig, p)
-    copies = sig.where("copies > 1").select("id")
     named = durable(
         copies.join(classes, "id", "full_outer").select("id", F.coalesce("root", "id").alias("class")), "line-classes"
     )
