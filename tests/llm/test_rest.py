@@ -217,6 +217,34 @@ def test_search_recall_ties_and_odd_rows(spark):
     assert sorted(r["vec_id"] for r in few) == [1, 2, 3]
 
 
+def test_search_sends_a_query_to_a_block_once(spark, monkeypatch):
+    """However many cells a query probes; and how rows and queries are dealt changes no result where all are reranked."""
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((1500, 16))
+    x[700:800] = x[700]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    written, durable = {}, ann.durable
+    monkeypatch.setattr(ann, "durable", lambda table, name: written.setdefault(name, durable(table, name)))
+    found = []
+    for p in (ann.IvfPq(cells=200), ann.IvfPq(cells=200, block_rows=40, block_queries=3)):
+        written.clear()
+        found.append({(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in ann.search(df, F.col("vec_id") % 50 == 0, p).collect()})
+        assert len(found[-1]) == 300
+        assert written["ann-queries"].count() <= 30 * 75  # 130 cells are probed for each
+    assert found[0] == found[1]
+
+
+def test_blocks_hold_every_part_of_a_cell_once():
+    p = ann.IvfPq(block_rows=100)
+    held = np.array([0, 5, 250, 100, 3, 98, 0, 99, 1, 2, 6000])
+    first, parts, blocks = ann._blocks(held, p)
+    assert parts.tolist() == [1, 1, 3, 1, 1, 1, 1, 1, 1, 1, 60]
+    rows = np.zeros(blocks)
+    for b, n, k in zip(first, parts, held):
+        rows[b : b + n] += k / n
+    assert rows.max() <= 101 and rows.sum() == held.sum()
+
+
 # --- toxicity
 
 
