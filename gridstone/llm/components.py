@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridstone.llm.common import discard, durable
+from gridstone.llm.common import discard, durable, tidy
 
 
 def _stars(links: DataFrame) -> bool:
@@ -22,7 +22,7 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     dropped, repeated links are harmless. Each pass links every node straight to a smaller node it already
     reaches, so chains shrink geometrically; passes go on until all links are stars around a smallest id.
     A pass aggregates minima map-side before it shuffles, and joins split hot hubs under AQE; nothing but the
-    answer whether that is so comes to the driver. Every pass is written to the shared folder.
+    answer whether that is so comes to the driver, whose memory of the passes' plans is freed at the end. Every pass is written to the shared folder.
     """
     links = durable(
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name
@@ -39,6 +39,7 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
         down = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         links = durable(down.unionByName(least.withColumnRenamed("m", "v")).distinct(), name)
         discard(large)
+    tidy(links.sparkSession)
     return links.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     )

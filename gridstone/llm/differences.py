@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridstone.llm.common import discard, durable
+from gridstone.llm.components import connected_components
 
 
 #: So many lists (12 bytes each) are broadcast to rows that hold whole sets; more are joined.
@@ -22,12 +23,22 @@ def references(held_against: DataFrame) -> DataFrame:
     return each.groupBy("node").agg(F.max(F.struct("degree", "ref")).alias("top")).select("node", "top.ref")
 
 
-def met(looked: DataFrame, before: str, condition: str, threshold: int, block: int, name: str, done: tuple[DataFrame, ...] = ()) -> DataFrame:
+def _holds(condition: str, threshold: int, whole: bool = False) -> str:
+    """Rows s and t of one list are near enough in size and meet ``condition``; see ``met``."""
+    both = "array_intersect(s.held, t.held)"
+    most = condition.replace("size(both)", "least(size(s.held), size(t.held))")
+    first = f"{both}[0] = s.v and " if whole else ""
+    return f"s.v = t.v and 100 * least(s.n, t.n) >= {threshold} * greatest(s.n, t.n) and {most} and {first}{condition.replace('both', both)}"
+
+
+def met(looked: DataFrame, before: str, condition: str, threshold: int, block: int, name: str, done: tuple[DataFrame, ...] = (), whole: bool = False) -> DataFrame:
     """Pairs (a, b) of different roots that look up a common list v and meet ``before`` and ``condition`` on both rows (s and t).
 
     Each row holds its lists from v on, rarest first (``held``); ``both`` in the condition stands for the common ones. A pair
     meets the condition at the rarest list it shares, where all common ones are held; further on fewer are, so that it may
-    be made again there, but never instead. A list is dealt in blocks of ``block`` members, each against the
+    be made again there, but never instead. What is held from v on bounds ``both``, so that pairs which meet late, at common
+    lists, are let go by their lengths before any lists are intersected (``whole``: rows hold the lists before v too, which
+    tell the rarest shared one but bound nothing). A list is dealt in blocks of ``block`` members, each against the
     whole list; all of the condition is taken inside the join, so pairs that do not meet it make no rows. ``done``: tables
     of ``durable`` that only ``looked`` reads, deleted once it is written.
     """
@@ -39,9 +50,7 @@ def met(looked: DataFrame, before: str, condition: str, threshold: int, block: i
     few, many = looked.where("blocks = 1").drop("blocks"), looked.where("blocks > 1")
     one = many.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     every = many.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    near = f"100 * least(s.n, t.n) >= {threshold} * greatest(s.n, t.n)"
-    both = "array_intersect(s.held, t.held)"
-    on = f"s.v = t.v and s.root < t.root and {before} and {near} and {both}[0] = s.v and {condition.replace('both', both)}"
+    on = f"s.root < t.root and {before} and {_holds(condition, threshold, whole)}"
     short = few.alias("s").join(few.alias("t"), F.expr(on))  # both sides are one shuffle
     long = one.alias("s").join(every.alias("t"), F.expr(f"s.block = t.block and {on}"))
     ends = [F.col("s.node").alias("a"), F.col("t.node").alias("b")]
@@ -49,7 +58,11 @@ def met(looked: DataFrame, before: str, condition: str, threshold: int, block: i
 
 
 def links_within(found: DataFrame, threshold: int, block: int, name: str) -> DataFrame:
-    """All links (a, b) between different roots among the nodes of one reference, exactly.
+    """Links (a, b) among the nodes of one reference that join all roots which have some, exactly.
+
+    All rows of a list are held against the one of the smallest difference first, and roots linked so are contracted; all pairs
+    of roots that still differ are compared then. A family whose members share elements (the reference's own edits) has
+    links as the square of its size otherwise.
 
     ``found``: node, root, n (size of the node's set), ref, m (size of the reference's set), d (the elements that only
     one of both has); a table of ``durable``, which is deleted. Two sets differ by |D| + |D'| - 2 |D and D'| elements, and are linked where that is at most
@@ -69,4 +82,13 @@ def links_within(found: DataFrame, threshold: int, block: int, name: str) -> Dat
         .select("node", "root", "n", "size", F.col("held.v").alias("held"), F.posexplode(F.slice("held.v", F.lit(1), F.expr("size(held) - t + 1"))).alias("i", "v"))
         .select("node", "root", "n", "size", F.expr("slice(held, i + 1, size(held))").alias("held"), "v")
     )
-    return met(looked, "true", f"{2 * up} * size(both) >= {up} * (s.size + t.size) - {down} * (s.n + t.n)", threshold, block, name, (found,))
+    looked = durable(looked, f"{name}-held")
+    discard(found)
+    condition = f"{2 * up} * size(both) >= {up} * (s.size + t.size) - {down} * (s.n + t.n)"
+    picked = looked.groupBy("v").agg(F.min(F.struct("size", "node")).alias("top"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1")
+    picked = looked.join(picked.select("v", "top.node"), ["v", "node"])
+    stars = looked.alias("s").join(picked.alias("t"), F.expr(f"s.root <> t.root and {_holds(condition, threshold)}"))
+    stars = durable(stars.select(F.greatest("s.root", "t.root").alias("a"), F.least("s.root", "t.root").alias("b")).distinct(), f"{name}-stars")
+    roots = connected_components(stars, f"{name}-components").toDF("root", "r")
+    looked = looked.join(roots, "root", "left").select("node", F.coalesce("r", "root").alias("root"), "n", "size", "held", "v")
+    return met(looked, "true", condition, threshold, block, name).unionByName(stars)

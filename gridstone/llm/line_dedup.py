@@ -105,14 +105,12 @@ def _set(name: str, p: LineDedup) -> Column:
 
 def _similar(pairs: DataFrame, bodies: DataFrame, p: LineDedup) -> DataFrame:
     """The pairs (a, b) whose whole shingle sets meet the threshold."""
-    sets = (
-        pairs.join(bodies.toDF("a", "x"), "a")
-        .join(bodies.toDF("b", "y"), "b")
-        .select("a", "b", _set("x", p).alias("x"), _set("y", p).alias("y"))
-        .where(100 * F.least(F.size("x"), F.size("y")) >= p.threshold * F.greatest(F.size("x"), F.size("y")))
-        .select("a", "b", F.size("x").alias("n"), F.size("y").alias("m"), F.size(F.array_intersect("x", "y")).alias("both"))
-    )
-    return sets.where(100 * F.col("both") >= p.threshold * (F.col("n") + F.col("m") - F.col("both"))).select("a", "b")
+    # sets are bound to a variable: as columns they would be made anew for every size that a pushed filter takes of them
+    sets = F.array(F.struct(_set("x", p).alias("x"), _set("y", p).alias("y")))
+    near = lambda n, m: 100 * F.least(n, m) >= p.threshold * F.greatest(n, m)
+    enough = lambda n, m, both: (100 + p.threshold) * both >= p.threshold * (n + m)
+    met = lambda s: near(F.size(s.x), F.size(s.y)) & enough(F.size(s.x), F.size(s.y), F.size(F.array_intersect(s.x, s.y)))
+    return pairs.join(bodies.toDF("a", "x"), "a").join(bodies.toDF("b", "y"), "b").where(F.exists(sets, met)).select("a", "b")
 
 
 def _bound(p: LineDedup) -> int:
@@ -205,11 +203,13 @@ def _classes(lines: DataFrame, sig: DataFrame, p: LineDedup) -> DataFrame:
         before, members = members, durable(named.select("id", "key", F.coalesce("root", "id").alias("root")), "line-buckets")
         discard(before)
     members = members.join(refs, "id", "left").withColumn("ref", F.coalesce("ref", "id"))
-    state = members.select("id", "root", "ref").distinct()
-    links = _similar(_rest(members, sig, p), bodies, p).unionByName(_within(state, bodies, p))
-    links = durable(links, "line-links")
+    known = found.select(F.col("id").alias("a"), F.col("root").alias("b"))
+    links = _within(members.select("id", "root", "ref").distinct(), bodies, p).unionByName(known)
+    found = durable(connected_components(links, "line-components").withColumnRenamed("node", "id"), "line-roots")
+    named = members.drop("root").join(found, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    known = found.select(F.col("id").alias("a"), F.col("root").alias("b"))
+    links = durable(_similar(_rest(named, sig, p), bodies, p), "line-links").unionByName(known)
     discard(members, bodies, sig)
-    links = links.unionByName(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     return durable(connected_components(links, "line-components").withColumnRenamed("node", "id"), "line-roots")
 
 

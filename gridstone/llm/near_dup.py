@@ -159,7 +159,7 @@ def _across(state: DataFrame, p: NearDup) -> DataFrame:
         .where("size(held) >= need")
         .select("node", "root", "ref", "n", "need", F.col("held.v").alias("held"), F.explode(F.slice("held.v", F.lit(1), F.expr("size(held) - need + 1"))).alias("v"))
     )
-    return met(looked, "s.ref <> t.ref", "size(both) >= greatest(s.need, t.need)", p.threshold, p.block, "neardup-across")
+    return met(looked, "s.ref <> t.ref", "size(both) >= greatest(s.need, t.need)", p.threshold, p.block, "neardup-across", whole=True)
 
 
 def _within(state: DataFrame, docs: DataFrame, p: NearDup) -> DataFrame:

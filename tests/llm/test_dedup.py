@@ -182,6 +182,37 @@ def test_recall_of_signatures_at_the_threshold(union):
     assert found >= 0.99 * trials, found / trials
 
 
+@pytest.mark.parametrize("block", [1_000, 40])
+def test_links_within_a_family_that_shares_edits(spark, tmp_path, block, monkeypatch):
+    """Every member shares the reference's own edits: links contract first, so that pairs are not as the square of the family."""
+    rng, m, rows = np.random.default_rng(4), 100, []
+    own = list(range(12))  # elements of the reference that no member has
+    for node in range(1, 401):
+        kind = int(rng.integers(0, 40))
+        extra = [1000 * (kind + 1) + i for i in range(11)] + [10**6 + 50 * node + i for i in range(int(rng.integers(0, 12)))]
+        rows.append((node, node, m - len(own) + len(extra), 0, m, [*own, *extra]))
+    path = f"{tmp_path}/found"
+    spark.createDataFrame(rows, "node long, root long, n long, ref long, m long, d array<long>").write.parquet(path)
+    sets = {node: {i for i in range(-m, 0)} - {-1 - i for i in own} | set(d[len(own) :]) for node, _, _, _, _, d in rows}
+    assert all(len(sets[node]) == n for node, _, n, *_ in rows)
+    want = roots(401, [(a, b) for a in sets for b in sets if b < a and similar(sets[a], sets[b])])
+    made, met = [], differences.met
+    monkeypatch.setattr(differences, "met", lambda *args: made.append(met(*args)) or made[-1])
+    links = [(r["a"], r["b"]) for r in differences.links_within(spark.read.parquet(path), 80, block, "test").collect()]
+    assert roots(401, links) == want
+    assert len(set(want[1:])) < 100
+    assert made[0].count() < 400
+
+
+def test_sets_of_a_pair_are_made_once(spark):
+    p = line_dedup.LineDedup()
+    pairs = spark.createDataFrame([(1, 2)], "a long, b long")
+    bodies = spark.createDataFrame([(1, "a line of some length".encode("utf-16be")), (2, "a line of some lengths".encode("utf-16be"))], "id long, body binary")
+    out = line_dedup._similar(pairs, bodies, p)
+    assert [tuple(r) for r in out.collect()] == [(1, 2)]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("array_distinct") == 2
+
+
 def test_lines_of_repeated_rows_and_clashing_columns(spark):
     rows = [(None, "same line", 1, "a"), (3, "same line\nsame line\nown", 2, "b"), (3, "same line\nsame line\nown", 3, "c"), (5, "same line", 4, "d"), (7, "", 5, "e"), (9, None, 6, "f")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, _line0 int, id string")
