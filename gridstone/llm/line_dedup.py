@@ -42,6 +42,8 @@ class LineDedup:
 
 #: Left shifts that take windows of 32 bits out of a 64-bit hash; their first ten bits, which decide most minima, are disjoint.
 SHIFTS = (0, 11, 21, 32)
+#: Shingles whose minima are taken in registers before they go into the aggregate, which costs more than the hashing does.
+STEP = 4
 
 
 def family(p: LineDedup) -> tuple[list[int], list[tuple[int, int, int]]]:
@@ -71,46 +73,52 @@ def _lines(docs: DataFrame, p: LineDedup) -> DataFrame:
     )
 
 
-def _places(body: Column, p: LineDedup) -> Column:
-    """Where shingles begin in UTF-16, in bytes from 1."""
-    units = F.shiftright(F.length(body), 1)
-    return F.sequence(F.lit(1), F.greatest(2 * units - (2 * p.shingle - 1), F.lit(1)), F.lit(2))
+def _last(body: Column, p: LineDedup) -> Column:
+    """Where the last shingle begins in UTF-16, in bytes from 1."""
+    return F.greatest(2 * F.shiftright(F.length(body), 1) - (2 * p.shingle - 1), F.lit(1))
 
 
 def _signatures(lines: DataFrame, p: LineDedup) -> DataFrame:
     """id, copies (occurrences) and minima (ARRAY<INT>) of every distinct line.
 
     Each minimum is over a 32-bit window of a hash of the shingle, xor a mask: every shingle is equally likely to win
-    it, so two lines agree on it with the probability of their Jaccard similarity. Shingles stream through one
-    generated-code stage into a map-side aggregate and are never stored. Two different lines with the same 64-bit id
+    it, so two lines agree on it with the probability of their Jaccard similarity. Shingles stream, ``STEP`` at a time (the
+    last one of a line is repeated), through one generated-code stage into a map-side aggregate and are never stored.
+    Windows stand in the upper half of a word, and the lower half, which is cut off, only parts ties. Two different lines with the same 64-bit id
     (then chk differs) are left out, and so are never taken for copies.
     """
     words, minima = family(p)
-    body = F.encode("line", "utf-16be").alias("body")
-    each = lines.select("id", "chk", body).select("id", "chk", "body", F.explode(_places(F.col("body"), p)).alias("i"))
-    each = each.select("id", "chk", "i", F.xxhash64(F.substring("body", F.col("i"), F.lit(2 * p.shingle))).alias("h"))
-    each = each.select("id", "chk", "i", *[F.xxhash64(F.col("h").bitwiseXOR(F.lit(m))).alias(f"w{k}") for k, m in enumerate(words)])
-    window = lambda w, s, m: F.shiftright(F.shiftleft(f"w{w}", s), 32).cast("int").bitwiseXOR(F.lit(m).cast("int"))
-    columns = [F.min(window(*x)).alias(f"m{j}") for j, x in enumerate(minima)]
-    copies = F.count_if(F.col("i") == 1).alias("copies")
+    at, end, span = F.col("i"), F.col("last"), range(STEP)
+    rows = lines.select("id", "chk", F.encode("line", "utf-16be").alias("body")).select("id", "chk", "body", _last(F.col("body"), p).alias("last"))
+    each = rows.select("id", "chk", "body", "last", F.explode(F.sequence(F.lit(1), end, F.lit(2 * STEP))).alias("i"))
+    each = each.select("id", "chk", "i", *[F.xxhash64(F.substring("body", F.least(at + 2 * k, end), F.lit(2 * p.shingle))).alias(f"h{k}") for k in span])
+    each = each.select("id", "chk", "i", *[F.xxhash64(F.col(f"h{k}").bitwiseXOR(F.lit(m))).alias(f"w{w}_{k}") for w, m in enumerate(words) for k in span])
+    window = lambda w, s, m, k: F.shiftleft(f"w{w}_{k}", s).bitwiseXOR(F.lit(m << 32).cast("long"))
+    columns = [F.min(F.least(*[window(*x, k) for k in span])).alias(f"m{j}") for j, x in enumerate(minima)]
+    copies = F.count_if(at == 1).alias("copies")
     sums = each.groupBy("id").agg(F.min("chk").alias("c0"), F.max("chk").alias("c1"), copies, *columns).where("c0 = c1")
-    return sums.select("id", "copies", F.array(*[f"m{j}" for j in range(len(minima))]).alias("minima"))
+    return sums.select("id", "copies", F.array(*[F.shiftright(f"m{j}", 32).cast("int") for j in range(len(minima))]).alias("minima"))
 
 
 def _set(name: str, p: LineDedup) -> Column:
-    """The distinct shingles of a column of lines (stored as UTF-16, so that this is not encoded for every shingle), as 64-bit hashes."""
-    body = F.col(name)
-    return F.array_distinct(F.transform(_places(body, p), lambda i: F.xxhash64(F.substring(body, i, F.lit(2 * p.shingle)))))
+    """The distinct shingles of a column of lines (stored as UTF-16, so that this is not encoded for every shingle), as 64-bit hashes.
+
+    The line is bound to a variable first: read from its row, it would be copied whole for every shingle.
+    """
+    places = lambda body: F.sequence(F.lit(1), _last(body, p), F.lit(2))
+    each = lambda body: F.transform(places(body), lambda i: F.xxhash64(F.substring(body, i, F.lit(2 * p.shingle))))
+    return F.array_distinct(F.transform(F.array(name), each)[0])
 
 
 def _similar(pairs: DataFrame, bodies: DataFrame, p: LineDedup) -> DataFrame:
     """The pairs (a, b) whose whole shingle sets meet the threshold."""
-    # sets are bound to a variable: as columns they would be made anew for every size that a pushed filter takes of them
-    sets = F.array(F.struct(_set("x", p).alias("x"), _set("y", p).alias("y")))
+    # sets come out of a generator: as columns they would be made anew for every size that a pushed filter takes of them
+    sets = F.explode(F.array(F.struct(_set("x", p).alias("x"), _set("y", p).alias("y")))).alias("s")
     near = lambda n, m: 100 * F.least(n, m) >= p.threshold * F.greatest(n, m)
     enough = lambda n, m, both: (100 + p.threshold) * both >= p.threshold * (n + m)
-    met = lambda s: near(F.size(s.x), F.size(s.y)) & enough(F.size(s.x), F.size(s.y), F.size(F.array_intersect(s.x, s.y)))
-    return pairs.join(bodies.toDF("a", "x"), "a").join(bodies.toDF("b", "y"), "b").where(F.exists(sets, met)).select("a", "b")
+    n, m, both = F.size("s.x"), F.size("s.y"), F.size(F.array_intersect("s.x", "s.y"))
+    found = pairs.join(bodies.toDF("a", "x"), "a").join(bodies.toDF("b", "y"), "b").select("a", "b", sets)
+    return found.where(near(n, m) & enough(n, m, both)).select("a", "b")
 
 
 def _bound(p: LineDedup) -> int:

@@ -1,10 +1,12 @@
 import random
 import re
+import time
 from collections import defaultdict
 
 import numpy as np
 import pytest
 from corpora import corpus, documents, edited, empty, words
+from pyspark.sql import functions as F
 
 from gridstone.llm import differences, line_dedup, near_dup
 from gridstone.llm.components import connected_components
@@ -166,6 +168,17 @@ def test_large_family_of_lines_without_its_original(spark, block):
     assert got == want
 
 
+def test_shingle_sets_of_long_lines_take_linear_time(spark):
+    """A line is not copied for each of its shingles: 400,000 characters took minutes so."""
+    text = "".join(random.Random(3).choices("abcdefgh \u00e9\U0001f600", k=400_000))
+    row = spark.createDataFrame([(text,), ("ab",)], "line string").select(F.encode("line", "utf-16be").alias("body"))
+    start = time.monotonic()
+    sizes = [r[0] for r in row.select(F.size(line_dedup._set("body", line_dedup.LineDedup()))).collect()]
+    units = text.encode("utf-16be")
+    assert sizes == [len({units[i : i + 16] for i in range(0, len(units) - 14, 2)}), 1]
+    assert time.monotonic() - start < 20
+
+
 @pytest.mark.parametrize("union", [10, 25, 100, 1000])
 def test_recall_of_signatures_at_the_threshold(union):
     """Pairs with similarity 0.8 exactly share a band and agree on enough minima in 99 of 100 cases."""
