@@ -132,19 +132,22 @@ class Bpe:
     memo: int = 1_000_000
 
 
+def count_words(batches: Iterator[pa.RecordBatch], limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """word, n of each slice of about ``limit`` bytes; a slice takes many times its size, so it is small."""
+    latest_per_process("heavy", "words", lambda: None)  # what an earlier operator left in this worker goes
+    for batch in common.slices(batches, "text", limit):
+        found = Chunked.of(batch.column(0))
+        size = found.end - found.start
+        ends = np.concatenate([[0], np.cumsum(size)])
+        at = np.repeat(found.start - ends[:-1], size) + np.arange(ends[-1])
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(found.buf[at])])
+        yield pa.RecordBatch.from_arrays([words.cast(pa.binary()), pa.array(np.bincount(found.number, minlength=len(size)))], names=["word", "n"])
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """word, n: how often each word (see ``Chunked``) occurs in all texts, summed in each task first."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches, "text", 6 << 20):
-            found = Chunked.of(batch.column(0))
-            size = found.end - found.start
-            ends = np.concatenate([[0], np.cumsum(size)])
-            at = np.repeat(found.start - ends[:-1], size) + np.arange(ends[-1])
-            words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(found.buf[at])])
-            yield pa.RecordBatch.from_arrays([words.cast(pa.binary()), pa.array(np.bincount(found.number, minlength=len(size)))], names=["word", "n"])
-
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    texts = docs.select(F.col("text").cast("string").alias("text"))
+    return texts.mapInArrow(count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def frequent_words(docs: DataFrame, p: Bpe) -> DataFrame:
