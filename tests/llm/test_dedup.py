@@ -8,7 +8,7 @@ import pytest
 from corpora import corpus, documents, edited, empty, words
 from pyspark.sql import functions as F
 
-from gridstone.llm import differences, line_dedup, near_dup
+from gridstone.llm import common, differences, line_dedup, near_dup
 from gridstone.llm.components import connected_components
 
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -246,3 +246,12 @@ def test_lines_in_texts(spark):
 def test_no_python_in_line_dedup(spark):
     plan = line_dedup.dedup_lines(documents(spark, ["a b\nc d"]))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_freed_native_memory_of_the_driver_goes_back(spark, monkeypatch):
+    assert "rim native heap" in common.trim(spark)
+    calls = []
+    monkeypatch.setattr(common, "trim", lambda session: calls.append(session))
+    common.durable(spark.range(3), "trimmed")
+    common.tidy(spark)
+    assert calls == [spark, spark]
