@@ -131,7 +131,7 @@ def _prefixes(classes: DataFrame, p: NearDup) -> DataFrame:
     """
     steps = F.arrays_zip(F.slice("sketch", F.lit(1), F.size("sketch") - 1).alias("v"), F.slice("sketch", F.lit(2), F.size("sketch") - 1).alias("w"))
     postings = classes.where("size(sketch) > 1").select("node", "n", F.explode(steps).alias("at")).select("node", "n", F.xxhash64("at.v", "at.w").alias("v"))
-    frequent = postings.groupBy("v").agg(F.count("*").alias("c")).where("c > 1")
+    frequent = postings.groupBy("v").agg(F.count("*").alias("c")).where("c > 1").hint("shuffle_hash")  # few, and so postings need no sort
     least = F.least(F.lit(p.overlap), F.expr(f"({2 * p.threshold - 100} * n + 99) div 100 - 1"))
     return (
         postings.join(frequent, "v")
@@ -144,6 +144,17 @@ def _prefixes(classes: DataFrame, p: NearDup) -> DataFrame:
     )
 
 
+def _candidates(classes: DataFrame, prefix: DataFrame, docs: DataFrame, p: NearDup) -> tuple[DataFrame, DataFrame]:
+    """Sketches and texts of the classes that have a prefix, as tables: only these are ever in a pair, and every round reads them."""
+    nodes = prefix.select("node")
+    if nodes.count() <= p.broadcast_ids:
+        nodes = F.broadcast(nodes)
+    sketches = classes.select("node", "sketch").join(nodes, "node", "left_semi")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = rows.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
+    return durable(sketches, "neardup-candidates"), durable(texts, "neardup-texts")
+
+
 def _across(state: DataFrame, p: NearDup) -> DataFrame:
     """All pairs (a, b) of different components and references that have ``need`` lists of their prefixes in common.
 
@@ -208,7 +219,7 @@ def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     )
     classes = durable(classes, "neardup-classes")
     prefix = durable(_prefixes(classes, p), "neardup-prefixes")
-    sketches = classes.select("node", "sketch")
+    sketches, texts = _candidates(classes, prefix, docs, p)
 
     masks = random.Random(p.seed)
     state, found = prefix.withColumn("root", F.col("node")), None
@@ -229,7 +240,7 @@ def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
             refs = durable(references(pairs.where(F.col("c") >= p.near)), "neardup-references")
             pairs = pairs.where("c >= need")
         pairs = pairs.select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
-        links = durable(_verified(pairs, sketches, docs, p), "neardup-links")
+        links = durable(_verified(pairs, sketches, texts, p), "neardup-links")
         if links.isEmpty():
             break
         if found is not None:
@@ -238,7 +249,7 @@ def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
         state = prefix.join(found.withColumnRenamed("root", "r"), "node", "left").withColumn("root", F.coalesce("r", "node")).drop("r")
 
     state = state.join(refs, "node", "left").withColumn("ref", F.coalesce("ref", "node"))
-    links = _verified(_across(state, p), sketches, docs, p).unionByName(_within(state, docs, p))
+    links = _verified(_across(state, p), sketches, texts, p).unionByName(_within(state, texts, p))
     if found is not None:
         links = links.unionByName(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     final = connected_components(links, "neardup-components")

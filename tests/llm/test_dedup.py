@@ -255,3 +255,14 @@ def test_freed_native_memory_of_the_driver_goes_back(spark, monkeypatch):
     common.durable(spark.range(3), "trimmed")
     common.tidy(spark)
     assert calls == [spark, spark]
+
+
+def test_rounds_read_only_documents_that_share_lists(spark, monkeypatch):
+    rng, read = random.Random(8), []
+    base = words(rng, 80, 5000)
+    texts = [*(words(rng, 80, 5000) for _ in range(40)), base, edited(rng, base, 1)]
+    verified = near_dup._verified
+    monkeypatch.setattr(near_dup, "_verified", lambda pairs, sketches, docs, p: read.append((sketches.count(), docs.count())) or verified(pairs, sketches, docs, p))
+    rows = near_dup.near_duplicates(documents(spark, texts), near_dup.NearDup(shingle=2)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in rows} == {i: min(i, 40) for i in range(42)}
+    assert read and set(read) == {(2, 2)}
