@@ -45,6 +45,9 @@ SHIFTS = (0, 11, 21, 32)
 #: Shingles whose minima are taken in registers before they go into the aggregate, which costs more than the hashing does.
 STEP = 4
 
+#: Times that the way from lines to their references is doubled.
+HOPS = 2
+
 
 def family(p: LineDedup) -> tuple[list[int], list[tuple[int, int, int]]]:
     """Masks of the 64-bit words drawn from a shingle's hash, and (word, shift, 32-bit mask) of each minimum, by band and row.
@@ -153,8 +156,19 @@ def _rest(members: DataFrame, sig: DataFrame, p: LineDedup) -> DataFrame:
     return one.alias("s").join(every.alias("t"), met).select(F.col("s.id").alias("a"), F.col("t.id").alias("b")).distinct()
 
 
+def _hubs(refs: DataFrame) -> DataFrame:
+    """node, ref: the reference of the reference, and of that again, so that the lines of a family have few references.
+
+    Members of a family stand in many buckets and so have many references near each other; all pairs of lines of
+    different ones are candidates in ``_rest``, most of them just below the threshold. ``_within`` is exact for any reference.
+    """
+    for _ in range(HOPS):
+        refs = refs.join(refs.select(F.col("node").alias("ref"), F.col("ref").alias("next")), "ref").select("node", F.col("next").alias("ref"))
+    return refs
+
+
 def _within(state: DataFrame, bodies: DataFrame, p: LineDedup) -> DataFrame:
-    """All links (a, b) between different classes among the lines of one reference; see ``links_within``."""
+    """All links (a, b) between different classes among the lines of one reference, see ``links_within``, and those to it."""
     groups = state.groupBy("ref").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("ref")
     rows = durable(state.join(groups, "ref").select("id", "root", "ref"), "line-groups")
     sets = bodies.join(rows.select("id"), "id", "left_semi").select(F.col("id").alias("node"), _set("body", p).alias("x"))
@@ -165,7 +179,10 @@ def _within(state: DataFrame, bodies: DataFrame, p: LineDedup) -> DataFrame:
         .join(pivots, "ref")
         .select("node", "root", "ref", F.size("x").alias("n"), F.size("y").alias("m"), F.array_union(F.array_except("x", "y"), F.array_except("y", "x")).alias("d"))
     )
-    return links_within(durable(found, "line-differences"), p.threshold, p.block, "line-within")
+    found = durable(found, "line-differences")
+    to_ref = found.where((100 + p.threshold) * F.size("d") <= (100 - p.threshold) * (F.col("n") + F.col("m")))
+    to_ref = durable(to_ref.where("node <> ref").select(F.col("node").alias("a"), F.col("ref").alias("b")), "line-to-references")
+    return links_within(found, p.threshold, p.block, "line-within").unionByName(to_ref)
 
 
 def _classes(lines: DataFrame, sig: DataFrame, p: LineDedup) -> DataFrame:
@@ -200,7 +217,7 @@ def _classes(lines: DataFrame, sig: DataFrame, p: LineDedup) -> DataFrame:
         pairs = _agreeing(pairs.select("node", "b").distinct(), sig, p)
         if found is None:
             pairs = durable(pairs.where(F.col("agree") >= p.near), "line-near")
-            refs = durable(references(pairs).withColumnRenamed("node", "id"), "line-references")
+            refs = durable(_hubs(durable(references(pairs), "line-references")).withColumnRenamed("node", "id"), "line-hubs")
         pairs = pairs.where(F.col("agree") >= _bound(p)).select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
         links = durable(_similar(pairs, bodies, p), "line-links")
         if found is not None:

@@ -168,6 +168,34 @@ def test_large_family_of_lines_without_its_original(spark, block):
     assert got == want
 
 
+def test_lines_of_one_family_have_few_references(spark, monkeypatch):
+    """Most pairs of this family are just below the threshold; they are not verified pair by pair, and no link is lost."""
+    rng, lines, verified = random.Random(2), [], []
+    base = [rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(400)]
+    for _ in range(250):
+        line = list(base)
+        for _ in range(rng.randrange(2, 8)):
+            line[rng.randrange(400)] = rng.choice("0123456789")
+        lines.append("".join(line))
+    rest = line_dedup._rest
+    monkeypatch.setattr(line_dedup, "_rest", lambda *args: verified.append(out := rest(*args).localCheckpoint()) or out)
+    got = {r["doc_id"]: r["dropped"] for r in line_dedup.line_drops(documents(spark, lines)).collect()}
+    assert got == model_drops(lines)
+    assert verified[0].count() <= 2 * len(lines)
+
+
+def test_links_to_a_reference_that_no_round_compared(spark, tmp_path):
+    """A reference of a reference need not have been held against a line: that link comes from their differences."""
+    p = line_dedup.LineDedup()
+    base = "".join(random.Random(5).choices("abcdefghijklmnop", k=200))
+    texts = [base, base + "xy", base[:100] + "ZZ" + base[102:], base[:60]]
+    bodies = spark.createDataFrame([(i, x.encode("utf-16be")) for i, x in enumerate(texts)], "id long, body binary")
+    state = spark.createDataFrame([(i, i, 0) for i in range(4)], "id long, root long, ref long")
+    links = [(r["a"], r["b"]) for r in line_dedup._within(state, bodies, p).collect()]
+    assert roots(4, links) == roots(4, [(1, 0), (2, 0)])
+    assert all(similar(shingles8(texts[a]), shingles8(texts[b])) for a, b in links)
+
+
 def test_shingle_sets_of_long_lines_take_linear_time(spark):
     """A line is not copied for each of its shingles: 400,000 characters took minutes so."""
     text = "".join(random.Random(3).choices("abcdefgh \u00e9\U0001f600", k=400_000))
